@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shared, shingle_sets, table
@@ -31,7 +31,10 @@ FREQUENT = 48
 FREQUENT_BITS = 1 << 24
 MARK_BITS = 1 << 24
 TASK_ROWS = 400_000
+#: A group of up to so many rows is a single node, whose leaves are paired at once.
+SMALL = 16
 SLICE = 500
+PAIRS = "a long, b long, cut boolean"
 
 
 def enough(common, a, b):
@@ -284,67 +287,82 @@ def _expand(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, np.repeat(token[some], lens)])), pa.array(np.concatenate([doc, extra["doc"]])), pa.array(np.concatenate([n, extra["n"]]))], ["token", "doc", "n"])
 
 
-def _pairer(limit: int):
-    """Candidate pairs from each shingle's group by dual traversal, at most ``limit`` partners a document in this round.
+def _leaf_pairs(batches):
+    """Pairs of small groups, each one node of leaves: those of fitting sizes from different components, once each."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    t = pa.Table.from_batches(rows)
+    token, doc, n, comp = (t.column(c).to_numpy() for c in ("token", "doc", "n", "comp"))
+    order = np.argsort(token, kind="stable")
+    token, doc, n, comp = token[order], doc[order], n[order], comp[order]
+    names, code = np.unique(doc, return_inverse=True)
+    keys = np.zeros(0, np.int64)
+    for d in range(1, SMALL):
+        if d >= len(token):
+            break
+        i = np.flatnonzero((token[d:] == token[:-d]) & (comp[d:] != comp[:-d]))
+        if not len(i):
+            continue
+        j = i + d
+        fit = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
+        x, y = code[i[fit]], code[j[fit]]
+        keys = np.union1d(keys, np.minimum(x, y) * len(names) + np.maximum(x, y))
+    for lo in range(0, len(keys), 50_000):
+        k = keys[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(names[k // len(names)]), pa.array(names[k % len(names)]), pa.array(np.zeros(len(k), bool))], ["a", "b", "cut"])
 
-    cut tells whether any were put off to the next round, which has a larger limit.
+
+def _tree_pairs(limit: int):
+    """Pairs of larger groups by dual traversal, at most ``limit`` partners a document.
+
+    A row with cut set tells that pairs were put off; the next round has a larger limit.
     """
 
-    def group(doc, n, sigs, comp):
-        best: dict[int, int] = {}
-        cut = False
-        for i, j in _by_class(n, sigs, comp):
+    def group(rows, out):
+        doc, n, comp = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
+        have, cut = np.zeros(len(rows), np.int64), False
+        for i, j in _by_class(n, [np.frombuffer(r[2], np.uint64) for r in rows], comp):
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if min(best.get(x, 0), best.get(y, 0)) >= limit:
+                if have[x] >= limit and have[y] >= limit:
                     cut = True
                     continue
-                best[x], best[y] = best.get(x, 0) + 1, best.get(y, 0) + 1
-                yield min(doc[x], doc[y]), max(doc[x], doc[y])
-        if cut:
-            yield None
-
-    def flush(rows):
-        out, cut = set(), False
-        doc = np.array([r[0] for r in rows])
-        n = np.array([r[1] for r in rows])
-        comp = np.array([r[3] for r in rows])
-        sigs = [np.frombuffer(r[2], np.uint64) for r in rows]
-        for p in group(doc, n, sigs, comp):
-            if p is None:
-                cut = True
-            else:
-                out.add((int(p[0]), int(p[1])))
-        return out, cut
+                have[x] += 1
+                have[y] += 1
+                out.add((int(min(doc[x], doc[y])), int(max(doc[x], doc[y]))))
+        return cut
+
+    def batch_of(pairs, cut):
+        a, b = [p[0] for p in pairs] + [-1] * cut, [p[1] for p in pairs] + [-1] * cut
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * len(pairs) + [True] * cut, pa.bool_())], ["a", "b", "cut"])
 
     def run(batches):
         rows, now, out, cut = [], None, set(), False
-
-        def batch_of(pairs, cut):
-            a = [p[0] for p in pairs]
-            b = [p[1] for p in pairs]
-            return pa.RecordBatch.from_arrays([pa.array([*a, *([-1] if cut else [])], pa.int64()), pa.array([*b, *([-1] if cut else [])], pa.int64()), pa.array([False] * len(a) + [True] * bool(cut))], ["a", "b", "cut"])
-
         for b in batches:
             for token, *row in zip(*(b.column(c).to_pylist() for c in ("token", "doc", "n", "sig", "comp")), strict=True):
                 if token != now:
-                    if len(rows) > 1:
-                        more, c = flush(rows)
-                        out |= more
-                        cut |= c
+                    cut |= group(rows, out) if len(rows) > 1 else False
                     rows, now = [], token
                     if len(out) > 200_000:
                         yield batch_of(out, False)
                         out = set()
                 rows.append(row)
-        if len(rows) > 1:
-            more, c = flush(rows)
-            out |= more
-            cut |= c
+        cut |= group(rows, out) if len(rows) > 1 else False
         yield batch_of(out, cut)
 
     return run
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, which tell the shingles of two documents apart."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return np.concatenate([np.zeros((len(six), 2), np.uint8), six], axis=1).reshape(-1).view(">u8").astype(np.uint64)
+
+
 def _marked(marks: np.ndarray):
     """Whole shingle sets of the documents whose mark is set."""
 
@@ -355,14 +373,14 @@ def _marked(marks: np.ndarray):
             part = b.filter(pa.array(on))
             for at in range(0, part.num_rows, SLICE):
                 p = part.slice(at, SLICE)
-                yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(p.column("text"))], pa.binary())], ["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array([_packed(s) for s in shingle_sets(p.column("text"))], pa.binary())], ["doc", "shingles"])
 
     return run
 
 
 def _verify(batches):
     for b in batches:
-        ok = [enough(shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), len(x) // 8, len(y) // 8) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+        ok = [bool(enough(shared(_unpacked(x), _unpacked(y)), len(x) // 6, len(y) // 6)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
@@ -386,7 +404,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return nodes.join(both.select(F.col("u").alias("doc"), F.col("v").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"))
+    return materialize(nodes.join(both.select(F.col("u").alias("doc"), F.col("v").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")))
 
 
 def _bitmap(spark: SparkSession, positions: DataFrame, bits: int) -> np.ndarray:
@@ -424,42 +442,57 @@ def linked(docs: DataFrame) -> DataFrame:
     kept = materialize(dealt.mapInArrow(_grouper, "token long, doc long, n long, more binary"))
     links = kept.filter("token is null").select(F.col("doc").alias("a"), F.col("n").alias("b"))
     groups = kept.filter("token is not null")
-    members = groups.mapInArrow(_expand, "token long, doc long, n long")
-    mark = F.pmod(F.xxhash64("doc"), F.lit(MARK_BITS))
-    marks = _bitmap(spark, members.select(mark.alias("p")), MARK_BITS)
-    asked = rows.filter("doc_id is not null").withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))).mapInArrow(_marked(marks), "doc long, shingles binary")
-    sets = materialize(asked.groupBy("doc").agg(F.max("shingles").alias("shingles")))
-
-    def verified(pairs):
-        x, y = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-        return materialize(pairs.join(x, "a").join(y, "b").mapInArrow(_verify, "a long, b long, ok boolean"))
-
-    # first round: every member beside the first of its group, which joins most copies at once
-    star = groups.join(groups.groupBy("token").agg(F.min("doc").alias("a"), F.min_by("n", "doc").alias("na")), "token")
-    star = star.filter("doc <> a and 4 * least(n, na) >= 3 * greatest(n, na)").select("a", F.col("doc").alias("b")).distinct()
-    sig_a, sig_b = sizes.select(F.col("doc").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), sizes.select(F.col("doc").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    star = star.join(sig_a, "a").join(sig_b, "b").mapInArrow(_bounded, "a long, b long").distinct()
-    checked = verified(star)
-    labels = materialize(components(links.union(checked.filter("ok").select("a", "b"))))
-    failed = checked.filter("not ok").select("a", "b")
-    members = materialize(members.distinct())
-    limit, cut = 8, True
-    while cut:
+    bitmaps = sizes.filter("n > 0").select("doc", "n", "sig")
+    labels = components(links)
+
+    def candidates(members, limit):
+        """Pairs of members that bitmaps, sizes and components leave open, and whether some were put off."""
         known = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        open_ = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-        left = known.join(open_, "token").join(sizes.groupBy("doc").agg(F.max("sig").alias("sig")), "doc").select("token", "doc", "n", "sig", "comp")
-        dealt = left.repartition(tasks, "token").sortWithinPartitions("token", "n", "doc")
-        found = materialize(dealt.mapInArrow(_pairer(limit), "a long, b long, cut boolean"))
-        cut = not found.filter("cut").isEmpty()
-        pairs = materialize(found.filter("not cut").select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            checked = verified(pairs)
+        open_ = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).filter("c0 <> c1").select("token", "rows")
+        known = materialize(known.join(open_, "token"))
+        few = known.filter(F.col("rows") <= SMALL).select("token", "doc", "n", "comp").repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)
+        many = known.filter(F.col("rows") > SMALL).join(bitmaps.select("doc", "sig"), "doc").select("token", "doc", "n", "sig", "comp")
+        many = many.repartition(tasks, "token").sortWithinPartitions("token", "n", "doc").mapInArrow(_tree_pairs(limit), PAIRS)
+        found = materialize(few.unionByName(many))
+        pairs = found.filter("not cut").select("a", "b").distinct()
+        one, two = (bitmaps.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+        return pairs.join(one, "a").join(two, "b").mapInArrow(_bounded, "a long, b long").distinct(), not found.filter("cut").isEmpty()
+
+    def resolve(pairs):
+        """Verify pairs until each lies in one component or has failed; returns the labels then."""
+        nonlocal failed
+        labels_now, share = labels, 1
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        mark = F.pmod(F.xxhash64("doc"), F.lit(MARK_BITS))
+        marks = _bitmap(spark, ends.select(mark.alias("p")), MARK_BITS)
+        asked = rows.filter("doc_id is not null").withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))).mapInArrow(_marked(marks), "doc long, shingles binary")
+        sets = materialize(asked)
+        while True:
+            one, two = (labels_now.select(F.col("doc").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
+            apart = pairs.join(failed, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+            # a document with one partner after the other, then with ever more at once
+            turn = materialize(apart.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).filter(F.col("k") <= share).select("a", "b"))
+            if turn.isEmpty():
+                return labels_now
+            x, y = (sets.select(F.col("doc").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+            checked = materialize(turn.join(y, "b").join(x, "a").mapInArrow(_verify, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")))
             failed = materialize(failed.union(checked.filter("not ok").select("a", "b")))
             fresh = checked.filter("ok").select("a", "b")
             if not fresh.isEmpty():
-                old = labels.select(F.col("doc").alias("a"), F.col("comp").alias("b"))
-                labels = materialize(components(old.union(fresh)))
-        limit *= 8
+                labels_now = components(labels_now.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(fresh))
+            share *= 16
+
+    failed = spark.createDataFrame([], "a long, b long")
+    # first one document for each row, which joins most copies, then all members where a row has more than one
+    wide = groups.join(groups.filter("more is not null").select("token").distinct(), "token", "left_semi")
+    for members in (groups.select("token", "doc", "n"), wide.mapInArrow(_expand, "token long, doc long, n long").distinct()):
+        limit, cut = 64, True
+        while cut:
+            pairs, cut = candidates(members, limit)
+            pairs = materialize(pairs.join(failed, ["a", "b"], "left_anti"))
+            if not pairs.isEmpty():
+                labels = resolve(pairs)
+            limit *= 8
     out = sizes.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
