@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shared, shingle_sets, table
 
-SIG_MIN, SIG_MAX = 256, 16384
+SIG_MIN, SIG_MAX = 256, 65536
 FANOUT = 8
 #: Shingles that come up 3 times in a window of so many are counted as possibly frequent.
 WINDOW = 1 << 21
@@ -42,9 +42,9 @@ def enough(common, a, b):
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Bitmap of a set, of twice its size rounded up to a power of two, within bounds."""
+    """Bitmap of a set, of four times its size rounded up to a power of two, within bounds."""
     bits = SIG_MIN
-    while bits < 2 * len(s) and bits < SIG_MAX:
+    while bits < 4 * len(s) and bits < SIG_MAX:
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -448,7 +448,10 @@ def linked(docs: DataFrame) -> DataFrame:
     def candidates(members, limit):
         """Pairs of members that bitmaps, sizes and components leave open, and whether some were put off."""
         known = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        open_ = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).filter("c0 <> c1").select("token", "rows")
+        same = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+        open_ = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), *same).filter("c0 <> c1")
+        # of shingles that the same documents share, one
+        open_ = open_.groupBy("rows", "h1", "h2").agg(F.min("token").alias("token")).select("token", "rows")
         known = materialize(known.join(open_, "token"))
         few = known.filter(F.col("rows") <= SMALL).select("token", "doc", "n", "comp").repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)
         many = known.filter(F.col("rows") > SMALL).join(bitmaps.select("doc", "sig"), "doc").select("token", "doc", "n", "sig", "comp")
@@ -486,13 +489,13 @@ def linked(docs: DataFrame) -> DataFrame:
     # first one document for each row, which joins most copies, then all members where a row has more than one
     wide = groups.join(groups.filter("more is not null").select("token").distinct(), "token", "left_semi")
     for members in (groups.select("token", "doc", "n"), wide.mapInArrow(_expand, "token long, doc long, n long").distinct()):
-        limit, cut = 64, True
+        limit, cut = 4, True
         while cut:
             pairs, cut = candidates(members, limit)
             pairs = materialize(pairs.join(failed, ["a", "b"], "left_anti"))
             if not pairs.isEmpty():
                 labels = resolve(pairs)
-            limit *= 8
+            limit *= 16
     out = sizes.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
