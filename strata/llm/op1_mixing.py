@@ -73,7 +73,8 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...], max_repeat: float) ->
     return materialize(joined.select("t.*", F.coalesce("c.cut", F.lit(-1)).alias("cut"))), groups
 
 
-COPIES = F.col("p.full") + (F.col("d.key") <= F.col("p.cut")).cast("long")
+def _copies() -> Column:
+    return F.col("p.full") + (F.col("d.key") <= F.col("p.cut")).cast("long")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -87,7 +88,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: flo
     sizes = sized(docs, F.col("doc_id"))
     plan, groups = mix_plan(sizes, weights, max_repeat)
     out = sizes.alias("d").join(small_side(plan, groups).alias("p"), F.col("d.grp").eqNullSafe(F.col("p.grp")))
-    return out.select("d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * COPIES).alias("taken"), COPIES.alias("copies"))
+    return out.select("d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * _copies()).alias("taken"), _copies().alias("copies"))
 
 
 def query(spark, sf_dir):
@@ -105,7 +106,7 @@ def stage(spark, docs, sf_dir):
     plan, groups = mix_plan(sized(docs), WEIGHTS, MAX_REPEAT)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("grp"), hash_key(F.col("doc_id")).alias("key"), (F.trim(F.translate(F.col("text"), "\t\n\x0b\x0c\r", "     ")) != "").alias("some"))
     out = rows.alias("d").join(small_side(plan, groups).alias("p"), F.col("d.grp").eqNullSafe(F.col("p.grp")))
-    copies = F.when(F.col("some"), COPIES).otherwise(0).cast("int")
+    copies = F.when(F.col("some"), _copies()).otherwise(0).cast("int")
     return out.select("d.row", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 
