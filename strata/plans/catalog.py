@@ -118,7 +118,8 @@ def _dirty_items(spark, d):
     return li.select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 7 != 0, F.col("l_partkey")).alias("l_partkey"), F.when(F.col("l_suppkey") % 11 == 0, "abc").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("quantity"), "l_returnflag", F.col("l_extendedprice"))
 
 
-ITEM_RULES = [*rules.required("l_partkey"), rules.one_of("l_returnflag", ["A", "R"]), rules.readable_as("quantity", "double"), rules.that("quantity_small", rules.number("quantity") < 45)]
+def item_rules():
+    return [*rules.required("l_partkey"), rules.one_of("l_returnflag", ["A", "R"]), rules.readable_as("quantity", "double"), rules.that("quantity_small", rules.number("quantity") < 45)]
 DIRTY = """d as (select l_orderkey, l_linenumber, case when l_partkey % 7 <> 0 then l_partkey end as l_partkey,
   case when l_suppkey % 11 = 0 then 'abc' else cast(cast(l_quantity as int) as varchar) end as quantity, l_returnflag, l_extendedprice from lineitem),
 m as (select *, list_filter([case when l_partkey is null then 'not_null:l_partkey' end, case when not (l_returnflag in ('A', 'R')) then 'accepted:l_returnflag' end,
@@ -126,15 +127,15 @@ m as (select *, list_filter([case when l_partkey is null then 'not_null:l_partke
 
 
 def q_rules_valid(spark, d):
-    return rules.apply_rules(_dirty_items(spark, d), ITEM_RULES)[0]
+    return rules.apply_rules(_dirty_items(spark, d), item_rules())[0]
 
 
 def q_rules_quarantine(spark, d):
-    return rules.apply_rules(_dirty_items(spark, d), ITEM_RULES)[1].drop("failed_rules")
+    return rules.apply_rules(_dirty_items(spark, d), item_rules())[1].drop("failed_rules")
 
 
 def q_rule_counts(spark, d):
-    return rules.failure_counts(rules.apply_rules(_dirty_items(spark, d), ITEM_RULES)[1])
+    return rules.failure_counts(rules.apply_rules(_dirty_items(spark, d), item_rules())[1])
 
 
 def q_split(spark, d):
@@ -178,11 +179,8 @@ def q_dim_date(spark, d):
     return tabular.days(spark, "2016-01-01", "2030-12-31").select(S.date_key(day).alias("date_key"), "date_day", F.year(day).alias("year"), F.month(day).alias("month"), F.date_format(day, "MMM").alias("month_name"), iso.alias("day_of_week"), (iso >= 6).alias("is_weekend"))
 
 
-END = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
-
-
 def _user_versions(spark, d):
-    return versions.validity(_events(spark, d), ["user_id"], "ts", END)
+    return versions.validity(_events(spark, d), ["user_id"], "ts", F.lit(S.OPEN_END).cast("timestamp_ntz"))
 
 
 def q_scd2(spark, d):
