@@ -76,7 +76,7 @@ RULES = [
     ("MPL-2.0", ["MPL2"]),
 ]
 #: Every known sentence has one of these; a text without any is not cut into sentences.
-MARKS = ("licen", "permi", "warrant", "mpl")
+MARKS = ("licen", "permi", "warrant", "mpl", "copyright")
 BREAK = r"[.;:!?]+(\s+|$)|[\r\n]+"
 NOT_WORD = r"[^a-z0-9]+"
 
