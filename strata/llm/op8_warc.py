@@ -197,7 +197,11 @@ def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of payloads; empty where they are too few to train one."""
     import zstandard
 
-    rows = pages.filter("html is not null and length(html) > 64").select("page_id", F.substring(F.encode("html", "utf-8"), 1, DICT_PAGE_BYTES).alias("x")).orderBy(F.xxhash64("page_id"), "page_id").limit(DICT_PAGES).collect()
+    fit = pages.filter("page_id is not null and length(html) > 64").select(F.col("page_id").cast("long").alias("page_id"), "html")
+    # keys first, so that no more than DICT_PAGES payloads leave the executors; rows that share a page_id give one
+    picked = fit.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(DICT_PAGES)
+    sample = fit.join(F.broadcast(picked), "page_id", "left_semi").select("page_id", F.substring(F.encode("html", "utf-8"), 1, DICT_PAGE_BYTES).alias("x"))
+    rows = sample.groupBy("page_id").agg(F.min("x").alias("x")).orderBy(F.xxhash64("page_id")).collect()
     try:
         return zstandard.train_dictionary(DICT_BYTES, [bytes(r["x"]) for r in rows]).as_bytes() if len(rows) >= 20 else b""
     except zstandard.ZstdError:
