@@ -316,7 +316,8 @@ def _leaf_pairs(batches):
 def _tree_pairs(limit: int):
     """Pairs of larger groups by dual traversal, at most ``limit`` partners a document.
 
-    A row with cut set tells that pairs were put off; the next round has a larger limit.
+    A row with cut set names the shingle of a group with pairs put off; the next round looks at such groups with a
+    larger limit.
     """
 
     def group(rows, out):
@@ -333,21 +334,23 @@ def _tree_pairs(limit: int):
         return cut
 
     def batch_of(pairs, cut):
-        a, b = [p[0] for p in pairs] + [-1] * cut, [p[1] for p in pairs] + [-1] * cut
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * len(pairs) + [True] * cut, pa.bool_())], ["a", "b", "cut"])
+        a, b = [p[0] for p in pairs] + cut, [p[1] for p in pairs] + cut
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * len(pairs) + [True] * len(cut), pa.bool_())], ["a", "b", "cut"])
 
     def run(batches):
-        rows, now, out, cut = [], None, set(), False
+        rows, now, out, cut = [], None, set(), []
         for b in batches:
             for token, *row in zip(*(b.column(c).to_pylist() for c in ("token", "doc", "n", "sig", "comp")), strict=True):
                 if token != now:
-                    cut |= group(rows, out) if len(rows) > 1 else False
+                    if len(rows) > 1 and group(rows, out):
+                        cut.append(now)
                     rows, now = [], token
                     if len(out) > 200_000:
-                        yield batch_of(out, False)
-                        out = set()
+                        yield batch_of(out, cut)
+                        out, cut = set(), []
                 rows.append(row)
-        cut |= group(rows, out) if len(rows) > 1 else False
+        if len(rows) > 1 and group(rows, out):
+            cut.append(now)
         yield batch_of(out, cut)
 
     return run
@@ -446,7 +449,7 @@ def linked(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     def candidates(members, limit):
-        """Pairs of members that bitmaps, sizes and components leave open, and whether some were put off."""
+        """Pairs of members that bitmaps, sizes and components leave open, and the shingles of groups with pairs put off."""
         known = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         same = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
         open_ = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), *same).filter("c0 <> c1")
@@ -456,10 +459,11 @@ def linked(docs: DataFrame) -> DataFrame:
         few = known.filter(F.col("rows") <= SMALL).select("token", "doc", "n", "comp").repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)
         many = known.filter(F.col("rows") > SMALL).join(bitmaps.select("doc", "sig"), "doc").select("token", "doc", "n", "sig", "comp")
         many = many.repartition(tasks, "token").sortWithinPartitions("token", "n", "doc").mapInArrow(_tree_pairs(limit), PAIRS)
-        found = materialize(few.unionByName(many))
-        pairs = found.filter("not cut").select("a", "b").distinct()
+        leaves, found = materialize(few).select("a", "b").distinct(), materialize(many)
         one, two = (bitmaps.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
-        return pairs.join(one, "a").join(two, "b").mapInArrow(_bounded, "a long, b long").distinct(), not found.filter("cut").isEmpty()
+        # the traversal has compared the bitmaps of its own pairs
+        bounded = leaves.join(one, "a").join(two, "b").mapInArrow(_bounded, "a long, b long")
+        return bounded.union(found.filter("not cut").select("a", "b")).distinct(), found.filter("cut").select(F.col("a").alias("token"))
 
     def resolve(pairs):
         """Verify pairs until each lies in one component or has failed; returns the labels then."""
@@ -489,12 +493,16 @@ def linked(docs: DataFrame) -> DataFrame:
     # first one document for each row, which joins most copies, then all members where a row has more than one
     wide = groups.join(groups.filter("more is not null").select("token").distinct(), "token", "left_semi")
     for members in (groups.select("token", "doc", "n"), wide.mapInArrow(_expand, "token long, doc long, n long").distinct()):
-        limit, cut = 4, True
-        while cut:
+        limit = 4
+        while True:
             pairs, cut = candidates(members, limit)
             pairs = materialize(pairs.join(failed, ["a", "b"], "left_anti"))
             if not pairs.isEmpty():
                 labels = resolve(pairs)
+            if cut.isEmpty():
+                break
+            # every pair of the other groups lies in one component or has failed by now
+            members = members.join(cut, "token", "left_semi")
             limit *= 16
     out = sizes.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

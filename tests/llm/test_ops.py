@@ -185,17 +185,7 @@ def test_warc(spark):
             list(op8_warc.read_archive(bad))
 
 
-def test_jaccard_against_brute_force(spark, docs):
-    rng = np.random.default_rng(3)
-    base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 120)) for _ in range(4)]
-    texts = list(TEXTS)
-    for b in base:
-        for k in range(25):
-            w = b.split()
-            for at in rng.choice(len(w), k % 6, replace=False):
-                w[at] = f"n{rng.integers(1000)}"
-            texts.append(" ".join(w))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+def expected_components(texts):
     sets = [shingles(t) for t in texts]
     root = list(range(len(texts)))
 
@@ -209,10 +199,41 @@ def test_jaccard_against_brute_force(spark, docs):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard.linked(df).collect()} == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def test_jaccard_against_brute_force(spark, docs):
+    rng = np.random.default_rng(3)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 120)) for _ in range(4)]
+    texts = list(TEXTS)
+    for b in base:
+        for k in range(25):
+            w = b.split()
+            for at in rng.choice(len(w), k % 6, replace=False):
+                w[at] = f"n{rng.integers(1000)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard.linked(df).collect()} == expected_components(texts)
     assert op9_jaccard.linked(df.limit(0)).count() == 0
 
 
+def test_jaccard_large_groups_close_to_the_threshold(spark, monkeypatch):
+    """A group of near copies spread over many partitions, of which the first round puts pairs off."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{k}" for k in range(100)], []
+    for k in range(160):
+        w = list(base)
+        at = rng.integers(0, 30) * 3
+        for e in range(1 + (k % 8 > 0)):
+            w[at + 6 * e] = f"n{rng.integers(6)}"
+        texts.append(" ".join(w))
+    limits, plain = [], op9_jaccard._tree_pairs
+    monkeypatch.setattr(op9_jaccard, "_tree_pairs", lambda limit: limits.append(limit) or plain(limit))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard.linked(df).collect()} == expected_components(texts)
+    assert max(limits) > 4
+
+
 def test_subsequence_kernel():
     from itertools import combinations
 
