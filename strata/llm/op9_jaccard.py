@@ -1,14 +1,19 @@
 """Exact n-gram Jaccard join with signature trees.
 
 Two documents link when 100 * |A & B| >= 75 * |A | B| over their distinct
-5-word shingles.  Documents that link share one of the first quarter of their
-shingles in any fixed order, so candidates meet in the groups of such prefix
-shingles; shingles known to be frequent come last in the order.  The members
-of a group form a signature tree: a leaf is a document with a bitmap of its
-shingles, a node holds the OR (and the AND) of its members' bitmaps and the
-range of their sizes.  A dual traversal drops node pairs whose largest possible
-overlap is too small, and those that lie in one component already.  What is
-left is verified on the whole shingle sets.
+5-word shingles.  Of documents with one shingle set, one stands for all.
+Documents that link share one of the first quarter of their shingles in any
+fixed order, so candidates meet in the groups of such prefix shingles;
+shingles known to be frequent come last in the order.  The members of a group
+form a signature tree: a leaf is a document with a bitmap of its shingles, a
+node holds the OR (and the AND) of its members' bitmaps and the range of their
+sizes.  A dual traversal drops node pairs whose largest possible overlap is too
+small, and those that lie in one component already.
+
+Larger groups are settled first: every document goes to one of its groups, in
+blocks of bounded size, where the tree's bitmaps have a bit for each shingle
+that two members share, so its leaves give exact overlaps and only links leave
+the task.  What other groups leave open is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -35,6 +40,14 @@ TASK_ROWS = 400_000
 SMALL = 16
 SLICE = 500
 PAIRS = "a long, b long, cut boolean"
+#: Documents in a block of a settled group, and times that documents are dealt to their groups.
+BLOCK = 512
+ROUNDS = 3
+#: Bytes of exact bitmaps that a block may use; beyond, hashed ones and whole sets.
+EXACT_BYTES = 1 << 26
+#: Partners of a document that the first pass over a larger group looks at.
+PARTNERS = 64
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def enough(common, a, b):
@@ -136,8 +149,11 @@ def _slices(batches, *cols):
             yield shingle_sets(part.column("text")), *(part.column(c).to_pylist() for c in cols)
 
 
+SURVEY = ["doc", "n", "sig", "h1", "h2", "token"]
+
+
 def _survey(batches):
-    """Size and bitmap of every document; counts of shingles that repeat within a window."""
+    """Size, bitmap and set hash of every document; counts of shingles that repeat within a window."""
     window: list[np.ndarray] = []
     held, seen = 0, []
 
@@ -147,21 +163,23 @@ def _survey(batches):
         seen.append((token[often], n[often]))
 
     for sets, ids in _slices(batches, "doc_id"):
-        docs, sizes, sigs = [], [], []
+        docs, sizes, sigs, h1, h2 = [], [], [], [], []
         for doc, s in zip(ids, sets, strict=True):
             docs.append(doc)
             sizes.append(len(s))
+            h1.append(int(np.add.reduce(s).view(np.int64)))
+            h2.append(int(np.bitwise_xor.reduce((s ^ (s >> np.uint64(29))) * ODD).view(np.int64)))
             sigs.append(signature(s).tobytes() if len(s) else None)
             window.append(s)
             held += len(s)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(docs), pa.int64())], ["doc", "n", "sig", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.nulls(len(docs), pa.int64())], SURVEY)
         if held >= WINDOW:
             close()
             window, held = [], 0
     if window:
         close()
     for token, n in seen:
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(token), pa.int64()), pa.array(n.astype(np.int64)), pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64))], ["doc", "n", "sig", "token"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(token), pa.int64()), pa.array(n.astype(np.int64)), pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64))], SURVEY)
 
 
 def _bit(values: np.ndarray, bits: int) -> np.ndarray:
@@ -183,108 +201,123 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-PAIR = np.dtype([("doc", "<i8"), ("n", "<i8")])
-
+def _emitter(frequent: np.ndarray, marks: np.ndarray):
+    """Prefix rows of the documents whose mark is set."""
 
-def _emit_window(docs: list[int], sets: list[np.ndarray], prefixes: list[np.ndarray]):
-    """Prefix rows of a window of documents; those found to link within it share a row per shingle."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    ids = np.array(docs, np.int64)
-    owner = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
-    token = np.concatenate(prefixes)
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    first = np.concatenate([[True], token[1:] != token[:-1]])
-    head = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
-    a, b = owner[head], owner
-    keep = (a != b) & (4 * np.minimum(sizes[a], sizes[b]) >= 3 * np.maximum(sizes[a], sizes[b]))
-    pairs = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0)
-    parent = list(range(len(sets)))
-    sigs: dict[int, np.ndarray] = {}
-    links = []
-    for x, y in pairs.tolist():
-        rx, ry = _find(parent, x), _find(parent, y)
-        if rx == ry:
-            continue
-        for k in (x, y):
-            if k not in sigs:
-                sigs[k] = signature(sets[k])
-        w = min(len(sigs[x]), len(sigs[y]))
-        p, q = fold(sigs[x], w), fold(sigs[y], w)
-        if enough(int(overlap_bound(p, p, sizes[x], q, q, sizes[y])), sizes[x], sizes[y]) and enough(shared(sets[x], sets[y]), sizes[x], sizes[y]):
-            parent[max(rx, ry)] = min(rx, ry)
-            links.append((docs[x], docs[y]))
-    root = np.array([_find(parent, k) for k in range(len(sets))])
-    order = np.lexsort((owner, root[owner], token))
-    token, owner = token[order], owner[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (root[owner][1:] != root[owner][:-1])
-    at = np.flatnonzero(new)
-    ends = np.append(at[1:], len(token))
-    more: list[bytes | None] = [None] * len(at)
-    for k in np.flatnonzero(ends - at > 1).tolist():
-        rest = np.unique(owner[at[k] + 1 : ends[k]])
-        rec = np.zeros(len(rest), PAIR)
-        rec["doc"], rec["n"] = ids[rest], sizes[rest]
-        more[k] = rec.tobytes()
-    return token[at].view(np.int64), ids[owner[at]], sizes[owner[at]], more, links
-
-
-def _emitter(frequent: np.ndarray):
     def run(batches):
-        def close():
-            token, doc, n, more, links = _emit_window(docs, sets, prefixes)
-            names = ["token", "doc", "n", "more"]
-            for lo in range(0, len(token), 50_000):
-                hi = lo + 50_000
-                yield pa.RecordBatch.from_arrays([pa.array(token[lo:hi]), pa.array(doc[lo:hi]), pa.array(n[lo:hi]), pa.array(more[lo:hi], pa.binary())], names)
-            if links:  # a link has no token; its other end is in n
-                x, y = zip(*links, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.binary())], names)
-
-        docs, sets, prefixes, held = [], [], [], 0
-        for found, ids in _slices(batches, "doc_id"):
-            for doc, s in zip(ids, found, strict=True):
-                if doc is None or not len(s):
+        for b in batches:
+            on = b.filter(pa.array(_marks_of(marks, b.column("mark").to_numpy())))
+            for found, ids in _slices([on], "doc_id"):
+                docs, sets = [], []
+                for doc, s in zip(ids, found, strict=True):
+                    if len(s):
+                        docs.append(doc)
+                        sets.append(s)
+                if not docs:
                     continue
-                docs.append(doc)
-                sets.append(s)
-                prefixes.append(_prefix(s, frequent))
-                held += len(s)
-            if held >= WINDOW:
-                yield from close()
-                docs, sets, prefixes, held = [], [], [], 0
-        if docs:
-            yield from close()
+                prefixes = [_prefix(s, frequent) for s in sets]
+                lens = [len(p) for p in prefixes]
+                token = np.concatenate(prefixes).view(np.int64)
+                doc, n = np.repeat(np.array(docs, np.int64), lens), np.repeat(np.array([len(s) for s in sets], np.int64), lens)
+                for lo in range(0, len(token), 50_000):
+                    hi = lo + 50_000
+                    yield pa.RecordBatch.from_arrays([pa.array(token[lo:hi]), pa.array(doc[lo:hi]), pa.array(n[lo:hi])], ["token", "doc", "n"])
 
     return run
 
 
+def _marks_of(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (marks[h >> 3] >> (h & 7)) & 1 == 1 if len(h) else np.zeros(0, bool)
+
+
 def _grouped(batches):
-    """Of a task's prefix rows, those whose shingle has rows of two documents; links pass."""
-    cols = ("token", "doc", "n", "more")
-    all_ = pa.Table.from_batches([b.select(list(cols)) for b in batches]) if (batches := [b for b in batches if b.num_rows]) else None
-    if all_ is None:
+    """Of a task's prefix rows, those whose shingle has two rows."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
         return
-    token = all_.column("token").to_numpy()
+    t = pa.Table.from_batches(rows)
+    token = t.column("token").to_numpy()
     order = np.argsort(token, kind="stable")
-    t = token[order]
-    same = t[1:] == t[:-1]
+    same = token[order][1:] == token[order][:-1]
     often = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    picked = all_.take(pa.array(order[often])).combine_chunks()
-    yield from picked.to_batches(max_chunksize=20_000)
+    yield from t.take(pa.array(order[often])).combine_chunks().to_batches(max_chunksize=20_000)
+
+
+def _exact_bits(sets: list[np.ndarray]) -> np.ndarray | None:
+    """Bitmaps with a bit for every shingle of two sets or more; None where they would be too large."""
+    token = np.concatenate(sets)
+    _, code, n = np.unique(token, return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    words = max(1, -(-int(np.count_nonzero(n > 1)) // 64))
+    if words * 8 * len(sets) > EXACT_BYTES:
+        return None
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = n[code] > 1
+    owner, at = owner[often], place[code[often]]
+    out = np.zeros((len(sets), words), np.uint64)
+    np.bitwise_or.at(out, (owner, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
 
 
-def _expand(batches):
-    """Every member of a row as a row of its own."""
+def _links_of(n, comp, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Components that links between members join: each with the smallest one that it is joined with."""
+    names, root = np.unique(comp, return_inverse=True)
+    parent = list(range(len(names)))
+    bits = _exact_bits(sets)
+    pairs = _by_class(n, [signature(s) for s in sets], comp) if bits is None else SignatureTree(n, bits, comp).pairs()
+    for i, j in pairs:
+        for lo in range(0, len(i), 1 << 12):
+            x, y = i[lo : lo + (1 << 12)], j[lo : lo + (1 << 12)]
+            if bits is not None:
+                ok = enough(np.bitwise_count(bits[x] & bits[y]).sum(-1, dtype=np.int64), n[x], n[y])
+                x, y = x[ok], y[ok]
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                rp, rq = _find(parent, int(root[p])), _find(parent, int(root[q]))
+                if rp != rq and (bits is not None or enough(shared(sets[p], sets[q]), n[p], n[q])):
+                    parent[max(rp, rq)] = min(rp, rq)
+    ends = [_find(parent, k) for k in range(len(names))]
+    return [(int(names[k]), int(names[end])) for k, end in enumerate(ends) if k != end]
+
+
+def _blocks(batches, *cols):
+    """Columns of each block with two members or more; rows come in order of blocks."""
+    now, rows = None, []
     for b in batches:
-        token, doc, n = (b.column(c).to_numpy() for c in ("token", "doc", "n"))
-        more = b.column("more").to_pylist()
-        some = [k for k, m in enumerate(more) if m]
-        recs = [np.frombuffer(more[k], PAIR) for k in some]
-        lens = [len(r) for r in recs]
-        extra = np.concatenate(recs) if recs else np.zeros(0, PAIR)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, np.repeat(token[some], lens)])), pa.array(np.concatenate([doc, extra["doc"]])), pa.array(np.concatenate([n, extra["n"]]))], ["token", "doc", "n"])
+        for block, *row in zip(*(b.column(c).to_pylist() for c in ("block", *cols)), strict=True):
+            if block != now:
+                if len(rows) > 1:
+                    yield now, list(zip(*rows, strict=True))
+                now, rows = block, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield now, list(zip(*rows, strict=True))
+
+
+def _in_question(batches):
+    """Members of a block for which bitmaps leave a partner of another component open."""
+    for block, (doc, n, comp, sig) in _blocks(batches, "doc", "n", "comp", "sig"):
+        doc, n, comp = np.array(doc), np.array(n), np.array(comp)
+        some = np.zeros(len(doc), bool)
+        for i, j in _by_class(n, [np.frombuffer(x, np.uint64) for x in sig], comp):
+            some[i] = some[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(n[some]), pa.array(comp[some]), pa.array(np.full(int(some.sum()), block))], ["doc", "n", "comp", "block"])
+
+
+def _settle(batches):
+    """Components that links within each block of a group join."""
+    for _, (n, comp, raw) in _blocks(batches, "n", "comp", "shingles"):
+        found = _links_of(np.array(n), np.array(comp), [_unpacked(r) for r in raw])
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+BLOCKS = [f"block{k}" for k in range(ROUNDS)]
+
+
+def _settled(blocks, i, j):
+    """Pairs that were in one block."""
+    return np.any([(b[i] == b[j]) & (b[i] != 0) for b in blocks], axis=0)
 
 
 def _leaf_pairs(batches):
@@ -293,9 +326,8 @@ def _leaf_pairs(batches):
     if not rows:
         return
     t = pa.Table.from_batches(rows)
-    token, doc, n, comp = (t.column(c).to_numpy() for c in ("token", "doc", "n", "comp"))
-    order = np.argsort(token, kind="stable")
-    token, doc, n, comp = token[order], doc[order], n[order], comp[order]
+    order = np.argsort(t.column("token").to_numpy(), kind="stable")
+    token, doc, n, comp, *blocks = (t.column(c).to_numpy()[order] for c in ("token", "doc", "n", "comp", *BLOCKS))
     names, code = np.unique(doc, return_inverse=True)
     keys = np.zeros(0, np.int64)
     for d in range(1, SMALL):
@@ -305,7 +337,7 @@ def _leaf_pairs(batches):
         if not len(i):
             continue
         j = i + d
-        fit = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
+        fit = (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & ~_settled(blocks, i, j)
         x, y = code[i[fit]], code[j[fit]]
         keys = np.union1d(keys, np.minimum(x, y) * len(names) + np.maximum(x, y))
     for lo in range(0, len(keys), 50_000):
@@ -322,8 +354,11 @@ def _tree_pairs(limit: int):
 
     def group(rows, out):
         doc, n, comp = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
+        blocks = np.array([r[4:] for r in rows]).T
         have, cut = np.zeros(len(rows), np.int64), False
         for i, j in _by_class(n, [np.frombuffer(r[2], np.uint64) for r in rows], comp):
+            open_ = ~_settled(blocks, i, j)
+            i, j = i[open_], j[open_]
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if have[x] >= limit and have[y] >= limit:
                     cut = True
@@ -340,7 +375,7 @@ def _tree_pairs(limit: int):
     def run(batches):
         rows, now, out, cut = [], None, set(), []
         for b in batches:
-            for token, *row in zip(*(b.column(c).to_pylist() for c in ("token", "doc", "n", "sig", "comp")), strict=True):
+            for token, *row in zip(*(b.column(c).to_pylist() for c in ("token", "doc", "n", "sig", "comp", *BLOCKS)), strict=True):
                 if token != now:
                     if len(rows) > 1 and group(rows, out):
                         cut.append(now)
@@ -371,9 +406,7 @@ def _marked(marks: np.ndarray):
 
     def run(batches):
         for b in batches:
-            h = b.column("mark").to_numpy()
-            on = ((marks[h >> 3] >> (h & 7)) & 1 == 1) if len(h) else np.zeros(0, bool)
-            part = b.filter(pa.array(on))
+            part = b.filter(pa.array(_marks_of(marks, b.column("mark").to_numpy())))
             for at in range(0, part.num_rows, SLICE):
                 p = part.slice(at, SLICE)
                 yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array([_packed(s) for s in shingle_sets(p.column("text"))], pa.binary())], ["doc", "shingles"])
@@ -394,19 +427,18 @@ def components(edges: DataFrame) -> DataFrame:
     steps are joins and aggregates; nothing but a count comes to the driver.
     """
     both = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    nodes = materialize(edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    mark = None
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     while True:
+        # done when every id has one smaller neighbour, or only larger ones
+        ends = both.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(both.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
+            break
         near = both.union(both.select("v", "u")).toDF("u", "v")
         low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
         both = materialize(small)
-        now = tuple(both.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
     return materialize(nodes.join(both.select(F.col("u").alias("doc"), F.col("v").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")))
 
 
@@ -433,31 +465,74 @@ def linked(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = materialize(rows.mapInArrow(_survey, "doc long, n long, sig binary, token long"))
-    sizes = survey.filter("token is null").select("doc", "n", "sig")
+    marked = rows.filter("doc_id is not null").withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)))
+
+    def marks(ids):
+        """A filter of ids; an id that it lets pass for another one costs time alone."""
+        return _bitmap(spark, ids.select(F.pmod(F.xxhash64("doc"), F.lit(MARK_BITS)).alias("p")), MARK_BITS)
+
+    def sets_of(ids):
+        return materialize(marked.mapInArrow(_marked(marks(ids)), "doc long, shingles binary"))
+
+    survey = materialize(rows.mapInArrow(_survey, "doc long, n long, sig binary, h1 long, h2 long, token long"))
+    sizes = survey.filter("token is null").select("doc", "n", "sig", "h1", "h2")
     often = survey.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     frequent = _bitmap(spark, often.select(F.shiftrightunsigned("token", 20).bitwiseAND(F.lit(FREQUENT_BITS - 1)).alias("p")), FREQUENT_BITS)
     total = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 4 // TASK_ROWS + 1)
-    sent = rows.mapInArrow(_emitter(frequent), "token long, doc long, n long, more binary")
-    # links have no token; they are dealt by both ends
-    dealt = sent.repartition(tasks, F.coalesce("token", F.xxhash64("doc", "n")))
-    kept = materialize(dealt.mapInArrow(_grouper, "token long, doc long, n long, more binary"))
-    links = kept.filter("token is null").select(F.col("doc").alias("a"), F.col("n").alias("b"))
-    groups = kept.filter("token is not null")
+    # one document stands for all with its set
+    sets = sizes.filter("n > 0 and doc is not null")
+    first = materialize(sets.groupBy("n", "h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")))
+    several = first.filter("doc < last").select("n", "h1", "h2", F.col("doc").alias("comp"))
+    labels = materialize(sets.join(several, ["n", "h1", "h2"]).select("doc", "comp").distinct())
+    sent = marked.mapInArrow(_emitter(frequent, marks(first)), "token long, doc long, n long")
+    groups = materialize(sent.repartition(tasks, "token").mapInArrow(_grouped, "token long, doc long, n long"))
     bitmaps = sizes.filter("n > 0").select("doc", "n", "sig")
-    labels = components(links)
 
-    def candidates(members, limit):
-        """Pairs of members that bitmaps, sizes and components leave open, and the shingles of groups with pairs put off."""
+    def opened(members):
+        """Members, with component, of groups with several; of groups of the same documents, one."""
         known = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         same = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
         open_ = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), *same).filter("c0 <> c1")
-        # of shingles that the same documents share, one
         open_ = open_.groupBy("rows", "h1", "h2").agg(F.min("token").alias("token")).select("token", "rows")
-        known = materialize(known.join(open_, "token"))
-        few = known.filter(F.col("rows") <= SMALL).select("token", "doc", "n", "comp").repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)
-        many = known.filter(F.col("rows") > SMALL).join(bitmaps.select("doc", "sig"), "doc").select("token", "doc", "n", "sig", "comp")
+        return materialize(known.join(open_, "token"))
+
+    def settle(members, blocks, name):
+        """Deal each document of larger groups to one of them and find the links there; adds the blocks' ids to ``blocks``."""
+        nonlocal labels
+        large = members.filter(F.col("rows") > SMALL)
+        # the largest, then one by hash, which like documents often share
+        choice = F.struct(F.lit(0) if name != BLOCKS[0] else F.col("rows"), F.xxhash64("token", F.lit(name)).alias("h"), "token")
+        dealt = large.groupBy("doc").agg(F.max(choice).alias("g"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+        dealt = materialize(dealt.select("doc", "n", "comp", F.col("g.token").alias("token")))
+        count = dealt.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+        part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / BLOCK))
+        here = materialize(dealt.join(count.select("token", "c"), "token").select("doc", "n", "comp", F.xxhash64("token", part).alias("block")))
+        if here.isEmpty():
+            return blocks.withColumn(name, F.lit(0).cast("long"))
+        asked = here.join(bitmaps.select("doc", "sig"), "doc").repartition(tasks, "block").sortWithinPartitions("block", "doc")
+        asked = materialize(asked.select("block", "doc", "n", "comp", "sig").mapInArrow(_in_question, "doc long, n long, comp long, block long"))
+        found = asked.join(sets_of(asked), "doc").repartition(tasks, "block").sortWithinPartitions("block", "doc")
+        found = materialize(found.select("block", "n", "comp", "shingles").mapInArrow(_settle, "a long, b long"))
+        labels = merged(found)
+        both = blocks.join(here.select("doc", F.col("block").alias(name)), "doc", "full")
+        return materialize(both.select("doc", *[F.coalesce(c, F.lit(0)).alias(c) for c in both.columns[1:]]))
+
+    def merged(links):
+        """Labels after more links: only components that these join are looked at."""
+        if links.isEmpty():
+            return labels
+        one, two = (labels.select(F.col("doc").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
+        ends = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        new = components(ends)
+        now = labels.join(new.select(F.col("doc").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("doc", F.coalesce("new", "comp").alias("comp"))
+        return materialize(now.union(new.join(labels.select("doc"), "doc", "left_anti").select("doc", "comp")))
+
+    def candidates(members, limit):
+        """Pairs of members that bitmaps, sizes and components leave open, and the shingles of groups with pairs put off."""
+        known = members.join(blocks, "doc", "left").fillna(0, BLOCKS)
+        few = known.filter(F.col("rows") <= SMALL).select("token", "doc", "n", "comp", *BLOCKS).repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)
+        many = known.filter(F.col("rows") > SMALL).join(bitmaps.select("doc", "sig"), "doc").select("token", "doc", "n", "sig", "comp", *BLOCKS)
         many = many.repartition(tasks, "token").sortWithinPartitions("token", "n", "doc").mapInArrow(_tree_pairs(limit), PAIRS)
         leaves, found = materialize(few).select("a", "b").distinct(), materialize(many)
         one, two = (bitmaps.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
@@ -466,60 +541,44 @@ def linked(docs: DataFrame) -> DataFrame:
         return bounded.union(found.filter("not cut").select("a", "b")).distinct(), found.filter("cut").select(F.col("a").alias("token"))
 
     def resolve(pairs):
-        """Verify pairs until each lies in one component or has failed; returns the labels then."""
-        nonlocal failed
-        labels_now, share = labels, 1
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        mark = F.pmod(F.xxhash64("doc"), F.lit(MARK_BITS))
-        marks = _bitmap(spark, ends.select(mark.alias("p")), MARK_BITS)
-        asked = rows.filter("doc_id is not null").withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))).mapInArrow(_marked(marks), "doc long, shingles binary")
-        sets = materialize(asked)
+        """Verify pairs until each lies in one component or has failed."""
+        nonlocal failed, labels
+        share = 1
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
         while True:
-            one, two = (labels_now.select(F.col("doc").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
+            one, two = (labels.select(F.col("doc").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
             apart = pairs.join(failed, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
             # a document with one partner after the other, then with ever more at once
             turn = materialize(apart.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).filter(F.col("k") <= share).select("a", "b"))
             if turn.isEmpty():
-                return labels_now
+                return
             x, y = (sets.select(F.col("doc").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
             checked = materialize(turn.join(y, "b").join(x, "a").mapInArrow(_verify, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")))
             failed = materialize(failed.union(checked.filter("not ok").select("a", "b")))
             fresh = checked.filter("ok").select("a", "b")
-            if not fresh.isEmpty():
-                labels_now = components(labels_now.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(fresh))
+            labels = merged(fresh)
             share *= 16
 
     failed = spark.createDataFrame([], "a long, b long")
-    # first one document for each row, which joins most copies, then all members where a row has more than one
-    wide = groups.join(groups.filter("more is not null").select("token").distinct(), "token", "left_semi")
-    for members in (groups.select("token", "doc", "n"), wide.mapInArrow(_expand, "token long, doc long, n long").distinct()):
-        limit = 4
-        while True:
-            pairs, cut = candidates(members, limit)
-            pairs = materialize(pairs.join(failed, ["a", "b"], "left_anti"))
-            if not pairs.isEmpty():
-                labels = resolve(pairs)
-            if cut.isEmpty():
-                break
-            # every pair of the other groups lies in one component or has failed by now
-            members = members.join(cut, "token", "left_semi")
-            limit *= 16
+    blocks, limit = spark.createDataFrame([], "doc long"), PARTNERS
+    for name in BLOCKS:
+        groups = opened(groups.select("token", "doc", "n"))
+        blocks = settle(groups, blocks, name)
+    while True:
+        groups = opened(groups.select("token", "doc", "n"))
+        pairs, cut = candidates(groups, limit)
+        pairs = materialize(pairs.join(failed, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            resolve(pairs)
+        if cut.isEmpty():
+            break
+        # every pair of the other groups lies in one component or has failed by now
+        groups = groups.join(cut, "token", "left_semi")
+        limit *= 16
     out = sizes.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _grouper(batches):
-    """_grouped on rows with a token; links pass as they are."""
-    kept = []
-    for b in batches:
-        no_token = b.column("token").is_null()
-        links = b.filter(no_token)
-        if links.num_rows:
-            yield links
-        kept.append(b.filter(b.column("token").is_valid()))
-    yield from _grouped(kept)
-
-
 def _bounded(batches):
     """Pairs whose bitmaps allow enough overlap."""
     for b in batches:
