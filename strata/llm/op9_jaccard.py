@@ -29,10 +29,10 @@ from .common import materialize, shared, shingle_sets, table
 
 SIG_MIN, SIG_MAX = 256, 65536
 FANOUT = 8
-#: Shingles that come up 3 times in a window of so many are counted as possibly frequent.
+#: Shingles that come up twice in a window of so many are counted as possibly frequent.
 WINDOW = 1 << 21
 #: Shingles counted so often come last in the order (which shingles these are affects speed alone).
-FREQUENT = 48
+FREQUENT = 16
 FREQUENT_BITS = 1 << 24
 MARK_BITS = 1 << 24
 TASK_ROWS = 400_000
@@ -55,9 +55,9 @@ def enough(common, a, b):
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Bitmap of a set, of four times its size rounded up to a power of two, within bounds."""
+    """Bitmap of a set, of twice its size rounded up to a power of two, within bounds."""
     bits = SIG_MIN
-    while bits < 4 * len(s) and bits < SIG_MAX:
+    while bits < 2 * len(s) and bits < SIG_MAX:
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -159,7 +159,7 @@ def _survey(batches):
 
     def close():
         token, n = np.unique(np.concatenate(window), return_counts=True)
-        often = n >= 3
+        often = n >= 2
         seen.append((token[often], n[often]))
 
     for sets, ids in _slices(batches, "doc_id"):
@@ -510,7 +510,7 @@ def linked(docs: DataFrame) -> DataFrame:
         here = materialize(dealt.join(count.select("token", "c"), "token").select("doc", "n", "comp", F.xxhash64("token", part).alias("block")))
         if here.isEmpty():
             return blocks.withColumn(name, F.lit(0).cast("long"))
-        asked = here.join(bitmaps.select("doc", "sig"), "doc").repartition(tasks, "block").sortWithinPartitions("block", "doc")
+        asked = here.join(large_sigs, "doc").repartition(tasks, "block").sortWithinPartitions("block", "doc")
         asked = materialize(asked.select("block", "doc", "n", "comp", "sig").mapInArrow(_in_question, "doc long, n long, comp long, block long"))
         found = asked.join(sets_of(asked), "doc").repartition(tasks, "block").sortWithinPartitions("block", "doc")
         found = materialize(found.select("block", "n", "comp", "shingles").mapInArrow(_settle, "a long, b long"))
@@ -532,7 +532,7 @@ def linked(docs: DataFrame) -> DataFrame:
         """Pairs of members that bitmaps, sizes and components leave open, and the shingles of groups with pairs put off."""
         known = members.join(blocks, "doc", "left").fillna(0, BLOCKS)
         few = known.filter(F.col("rows") <= SMALL).select("token", "doc", "n", "comp", *BLOCKS).repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)
-        many = known.filter(F.col("rows") > SMALL).join(bitmaps.select("doc", "sig"), "doc").select("token", "doc", "n", "sig", "comp", *BLOCKS)
+        many = known.filter(F.col("rows") > SMALL).join(large_sigs, "doc").select("token", "doc", "n", "sig", "comp", *BLOCKS)
         many = many.repartition(tasks, "token").sortWithinPartitions("token", "n", "doc").mapInArrow(_tree_pairs(limit), PAIRS)
         leaves, found = materialize(few).select("a", "b").distinct(), materialize(many)
         one, two = (bitmaps.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
@@ -563,6 +563,8 @@ def linked(docs: DataFrame) -> DataFrame:
     blocks, limit = spark.createDataFrame([], "doc long"), PARTNERS
     for name in BLOCKS:
         groups = opened(groups.select("token", "doc", "n"))
+        if name == BLOCKS[0]:  # later rounds have fewer groups
+            large_sigs = materialize(bitmaps.select("doc", "sig").join(groups.filter(F.col("rows") > SMALL).select("doc").distinct(), "doc", "left_semi"))
         blocks = settle(groups, blocks, name)
     while True:
         groups = opened(groups.select("token", "doc", "n"))
