@@ -313,6 +313,9 @@ def _settle(batches):
 
 
 BLOCKS = [f"block{k}" for k in range(ROUNDS)]
+#: A document names its smallest large group in each of so many classes.
+LOWS = [f"low{k}" for k in range(4)]
+NO_TOKEN = -(1 << 63)
 
 
 def _settled(blocks, i, j):
@@ -352,12 +355,16 @@ def _tree_pairs(limit: int):
     larger limit.
     """
 
-    def group(rows, out):
+    def group(token, rows, out):
         doc, n, comp = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
-        blocks = np.array([r[4:] for r in rows]).T
+        blocks = np.array([r[4 : 4 + ROUNDS] for r in rows]).T
+        lows = np.array([r[4 + ROUNDS :] for r in rows])
         have, cut = np.zeros(len(rows), np.int64), False
         for i, j in _by_class(n, [np.frombuffer(r[2], np.uint64) for r in rows], comp):
-            open_ = ~_settled(blocks, i, j)
+            # of the groups that two documents share, the one that both name deals with them
+            both = (lows[i] == lows[j]) & (lows[i] != NO_TOKEN)
+            first = np.where(both, lows[i], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+            open_ = ~_settled(blocks, i, j) & (~both.any(axis=1) | (first == token))
             i, j = i[open_], j[open_]
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if have[x] >= limit and have[y] >= limit:
@@ -375,16 +382,16 @@ def _tree_pairs(limit: int):
     def run(batches):
         rows, now, out, cut = [], None, set(), []
         for b in batches:
-            for token, *row in zip(*(b.column(c).to_pylist() for c in ("token", "doc", "n", "sig", "comp", *BLOCKS)), strict=True):
+            for token, *row in zip(*(b.column(c).to_pylist() for c in ("token", "doc", "n", "sig", "comp", *BLOCKS, *LOWS)), strict=True):
                 if token != now:
-                    if len(rows) > 1 and group(rows, out):
+                    if len(rows) > 1 and group(now, rows, out):
                         cut.append(now)
                     rows, now = [], token
                     if len(out) > 200_000:
                         yield batch_of(out, cut)
                         out, cut = set(), []
                 rows.append(row)
-        if len(rows) > 1 and group(rows, out):
+        if len(rows) > 1 and group(now, rows, out):
             cut.append(now)
         yield batch_of(out, cut)
 
@@ -532,7 +539,10 @@ def linked(docs: DataFrame) -> DataFrame:
         """Pairs of members that bitmaps, sizes and components leave open, and the shingles of groups with pairs put off."""
         known = members.join(blocks, "doc", "left").fillna(0, BLOCKS)
         few = known.filter(F.col("rows") <= SMALL).select("token", "doc", "n", "comp", *BLOCKS).repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)
-        many = known.filter(F.col("rows") > SMALL).join(large_sigs, "doc").select("token", "doc", "n", "sig", "comp", *BLOCKS)
+        large = known.filter(F.col("rows") > SMALL)
+        named = [F.min(F.when(F.pmod("token", F.lit(len(LOWS))) == k, F.col("token"))) for k in range(len(LOWS))]
+        named = large.groupBy("doc").agg(*[F.coalesce(c, F.lit(NO_TOKEN)).alias(k) for k, c in zip(LOWS, named, strict=True)])
+        many = large.join(large_sigs.join(named, "doc"), "doc").select("token", "doc", "n", "sig", "comp", *BLOCKS, *LOWS)
         many = many.repartition(tasks, "token").sortWithinPartitions("token", "n", "doc").mapInArrow(_tree_pairs(limit), PAIRS)
         leaves, found = materialize(few).select("a", "b").distinct(), materialize(many)
         one, two = (bitmaps.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
