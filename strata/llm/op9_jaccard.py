@@ -231,13 +231,16 @@ def _marks_of(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _grouped(batches):
-    """Of a task's prefix rows, those whose shingle has two rows."""
+    """Of a task's prefix rows, each once, those whose shingle has two rows."""
     rows = [b for b in batches if b.num_rows]
     if not rows:
         return
     t = pa.Table.from_batches(rows)
-    token = t.column("token").to_numpy()
-    order = np.argsort(token, kind="stable")
+    token, doc, n = (t.column(c).to_numpy() for c in ("token", "doc", "n"))
+    order = np.lexsort((n, doc, token))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in (token, doc, n)], axis=0)
+    order = order[fresh]
     same = token[order][1:] == token[order][:-1]
     often = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     yield from t.take(pa.array(order[often])).combine_chunks().to_batches(max_chunksize=20_000)
@@ -478,14 +481,19 @@ def linked(docs: DataFrame) -> DataFrame:
         """A filter of ids; an id that it lets pass for another one costs time alone."""
         return _bitmap(spark, ids.select(F.pmod(F.xxhash64("doc"), F.lit(MARK_BITS)).alias("p")), MARK_BITS)
 
+    def once(df):
+        """Each row once; where no doc_id repeats they are so already."""
+        return df.distinct() if repeated else df
+
     def sets_of(ids):
-        return materialize(marked.mapInArrow(_marked(marks(ids)), "doc long, shingles binary"))
+        return materialize(once(marked.mapInArrow(_marked(marks(ids)), "doc long, shingles binary")))
 
     survey = materialize(rows.mapInArrow(_survey, "doc long, n long, sig binary, h1 long, h2 long, token long"))
     sizes = survey.filter("token is null").select("doc", "n", "sig", "h1", "h2")
     often = survey.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     frequent = _bitmap(spark, often.select(F.shiftrightunsigned("token", 20).bitwiseAND(F.lit(FREQUENT_BITS - 1)).alias("p")), FREQUENT_BITS)
     total = sizes.agg(F.sum("n")).first()[0] or 0
+    repeated = not sizes.filter("n > 0 and doc is not null").groupBy("doc").count().filter("count > 1").isEmpty()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 4 // TASK_ROWS + 1)
     # one document stands for all with its set
     sets = sizes.filter("n > 0 and doc is not null")
@@ -494,12 +502,14 @@ def linked(docs: DataFrame) -> DataFrame:
     labels = materialize(sets.join(several, ["n", "h1", "h2"]).select("doc", "comp").distinct())
     sent = marked.mapInArrow(_emitter(frequent, marks(first)), "token long, doc long, n long")
     groups = materialize(sent.repartition(tasks, "token").mapInArrow(_grouped, "token long, doc long, n long"))
-    bitmaps = sizes.filter("n > 0").select("doc", "n", "sig")
+    bitmaps = once(sizes.filter("n > 0").select("doc", "n", "sig"))
+    bitmaps = materialize(bitmaps) if repeated else bitmaps
 
     def opened(members):
         """Members, with component, of groups with several; of groups of the same documents, one."""
         known = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        same = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+        # rows are distinct, so none cancels another
+        same = [F.bit_xor(F.xxhash64("doc", "n", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
         open_ = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), *same).filter("c0 <> c1")
         open_ = open_.groupBy("rows", "h1", "h2").agg(F.min("token").alias("token")).select("token", "rows")
         return materialize(known.join(open_, "token"))

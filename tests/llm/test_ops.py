@@ -217,6 +217,20 @@ def test_jaccard_against_brute_force(spark, docs):
     assert op9_jaccard.linked(df.limit(0)).count() == 0
 
 
+def test_jaccard_with_repeated_rows(spark):
+    def text(k, last):
+        return " ".join([*(f"p{k}w{i}" for i in range(60)), last])
+
+    texts = [text(k, f"end{k}{j}") for k in range(6) for j in range(2)]
+    want = expected_components(texts)
+    assert all(want[2 * k + 1][1] == 2 * k for k in range(6))
+    rows = list(enumerate(texts))
+    for repeats in (rows * 2, rows + rows[::2], rows * 3 + rows[:5]):
+        got = op9_jaccard.linked(spark.createDataFrame(repeats, "doc_id long, text string")).collect()
+        assert len(got) == len(repeats)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_jaccard_large_groups_close_to_the_threshold(spark, monkeypatch):
     """A group of near copies spread over many partitions, of which the first round puts pairs off."""
     rng = np.random.default_rng(5)
