@@ -4,6 +4,11 @@ A text's sentences are normalised and looked up among known licence sentences;
 the sequence of their identifiers is then matched against rules, in order
 (German, Manabe and Inoue 2010, "A Sentence-Matching Method for Automatic
 License Identification of Source Code Files").  DataFrame operations only.
+
+A line break, a ';' or a ':' may end a sentence or lie within one, so texts are
+cut there and a known sentence is one piece or several in a row.  The SQL looks
+at single pieces, without the third BSD clause; it gives the same result where
+no notice is wrapped and none has that clause.
 """
 
 from __future__ import annotations
@@ -75,10 +80,25 @@ RULES = [
     ("MPL-2.0", ["MPL2", "MPL2Copy"]),
     ("MPL-2.0", ["MPL2"]),
 ]
+#: The third BSD clause names the holder of the copyright.
+BSD_NAMES = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+HOLDER = "neither the name of (.+) nor the names of its contributors"
+HOLDER_CHARS = 200
+KNOWN = SENTENCES | {BSD_NAMES: "BSDNames"}
+BSD3 = ("BSD-3-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDNames"])
+#: All rules: a text with the third clause has the first two as well.
+ALL_RULES = [r for rule in RULES for r in ([BSD3, rule] if rule[0] == "BSD-2-Clause" else [rule])]
 #: Every known sentence has one of these; a text without any is not cut into sentences.
 MARKS = ("licen", "permi", "warrant", "mpl", "copyright")
 BREAK = r"[.;:!?]+(\s+|$)|[\r\n]+"
-NOT_WORD = r"[^a-z0-9]+"
+
+
+def _pattern() -> str:
+    """Known sentences as whole pieces, in which a '|' may stand for any blank; the longest is tried first."""
+    gap = "[ |]"
+    forms = [s.replace(" ", gap) for s in sorted(KNOWN, key=len, reverse=True)]
+    holder = BSD_NAMES.replace(" ", gap).replace(gap.join(["of", "the", "copyright", "holder", "nor"]), f"of{gap}[a-z0-9 |]{{1,{HOLDER_CHARS}}}?{gap}nor")
+    return rf"(?<=\|)(?:{'|'.join([*forms, holder])})(?=\|)"
 
 
 def _known(text: Column) -> Column:
@@ -86,10 +106,14 @@ def _known(text: Column) -> Column:
     marked = F.lit(False)
     for m in MARKS:
         marked = marked | F.contains(low, F.lit(m))
-    names = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = F.transform(F.split(low, BREAK), lambda s: F.trim(F.regexp_replace(s, NOT_WORD, " ")))
-    ids = F.filter(F.transform(F.filter(plain, lambda s: F.array_contains(F.map_keys(names), s)), lambda s: F.element_at(names, s)), lambda s: s.isNotNull())
-    return F.when(marked, ids)
+    names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    # pieces between '|', words between blanks
+    lines = F.regexp_replace(F.regexp_replace(low, BREAK, "\n"), r"[^a-z0-9\n]+", " ")
+    flat = F.concat(F.lit("|"), F.regexp_replace(lines, r" *\n[ \n]*", "|"), F.lit("|"))
+    flat = F.regexp_replace(flat, r" *\|[ |]*", "|")
+    found = F.regexp_extract_all(flat, F.lit(_pattern()), F.lit(0))
+    plain = F.transform(found, lambda s: F.regexp_replace(F.translate(s, "|", " "), HOLDER, BSD_NAMES.split(" may ")[0]))
+    return F.when(marked, F.transform(plain, lambda s: F.element_at(names, s)))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -104,10 +128,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     rest = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))
     out = found.withColumn("rest", F.when(F.size("ids") > 0, rest).otherwise(F.lit("")))
     hits = []
-    for k, (_, ids) in enumerate(RULES):
+    for k, (name, ids) in enumerate(ALL_RULES):
         run = " " + "  ".join(ids) + " "
         out = out.withColumn(f"r{k}", F.contains("rest", F.lit(run))).withColumn("rest", F.replace(F.col("rest"), F.lit(run), F.lit("|")))
-        hits.append(F.when(F.col(f"r{k}"), F.lit(RULES[k][0])))
+        hits.append(F.when(F.col(f"r{k}"), F.lit(name)))
     licenses = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))), ",")
     return out.select("doc_id", F.array_join("ids", ",").alias("sentences"), licenses.alias("licenses"), F.regexp_count("rest", F.lit("[A-Za-z0-9]+")).cast("int").alias("unmatched"))
 

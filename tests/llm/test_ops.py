@@ -166,6 +166,67 @@ def test_licenses(spark):
     assert all(any(m in s for m in op7_licenses.MARKS) for s in op7_licenses.SENTENCES) and all(i in op7_licenses.SENTENCES.values() for _, ids in op7_licenses.RULES for i in ids)
 
 
+def test_licenses_of_wrapped_notices(spark):
+    gpl = """ * This program is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation{} either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program{} write to the Foundation.
+"""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:\r
+\r
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    third = """
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    texts = [(gpl.format(":", ",", 3, ".  If not,"), "GPL-3.0-or-later"), (gpl.format(";", ";", 2, "; if not,"), "GPL-2.0-or-later"), (apache, "Apache-2.0"), (mit, "MIT"), (mpl, "MPL-2.0"), (bsd, "BSD-2-Clause"),
+             (bsd + third.format("the copyright holder"), "BSD-3-Clause"), (" ".join((bsd + third.format("Example | Inc. & Sons")).split()), "BSD-3-Clause"), (bsd + "\n" + mpl, "BSD-2-Clause,MPL-2.0")]
+    got = op7_licenses.scanned(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licenses, r.unmatched) for r in got} == {k: (name, 0) for k, (_, name) in enumerate(texts)}
+
+
 def test_warc(spark):
     html = ["<p>é</p>" * 50, "", None, "<p>é</p>" * 50, "x" * 300_000] + [f"<b>{i}</b>" * 30 for i in range(30)]
     df = spark.createDataFrame([(i, f"http://a/{i}" if i else None, h, "z") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")
