@@ -136,19 +136,32 @@ class Model:
             where = np.searchsorted(self.hash, uniq)
         return self.value[where][inv]
 
+    def _scored(self, part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and score of each word; of a long text, piece by piece between words."""
+        pieces = _cut_at_space(part) if len(part) > 2 * CHUNK_BYTES else [part]
+        found, at = [], 0
+        for p in pieces:
+            with np.errstate(over="ignore"):
+                h, s, e = _words(p, off if len(p) == len(part) else np.array([0, len(p)]), _CODE)
+            if len(h):
+                found.append((s + at, e + at, self._cached(h, p, s, e).astype(np.float64)))
+            at += len(p)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        s, e, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return s, e, score
+
     def _range(self, part: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Worst sentence and share of sentences above 0 of each row."""
         out = np.tile(np.array([self.bias, 0.0]), (len(off) - 1, 1))
-        with np.errstate(over="ignore"):
-            h, s, e = _words(part, off, _CODE)
-        if not len(h):
+        s, e, score = self._scored(part, off)
+        if not len(s):
             return out
-        score = self._cached(h, part, s, e).astype(np.float64)
         bounds = np.searchsorted(s, off)
-        lines = np.concatenate([[0], np.cumsum(part == 10)])
-        start = np.zeros(len(h), bool)
-        start[1:] = _STOP[part[e[:-1] - 1]] | (lines[s[1:]] > lines[e[:-1]])
-        start[bounds[:-1][bounds[:-1] < len(h)]] = True
+        lines = np.flatnonzero(part == 10)
+        start = np.zeros(len(s), bool)
+        start[1:] = _STOP[part[e[:-1] - 1]] | (np.searchsorted(lines, s[1:]) > np.searchsorted(lines, e[:-1]))
+        start[bounds[:-1][bounds[:-1] < len(s)]] = True
         # letters spelt one by one count as a word, at its first letter
         single = (e - s == 1) & ~_STOP[part[s]]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
@@ -169,11 +182,7 @@ class Model:
         out = np.zeros((len(offsets) - 1, 2))
         for lo, hi in row_ranges(offsets):
             part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            if len(part) > 2 * CHUNK_BYTES:
-                got = np.vstack([[self.bias, 0.0], *[self._range(p, np.array([0, len(p)])) for p in _cut_at_space(part)]])
-                out[lo] = got[:, 0].max(), got[1:, 1].mean() if len(got) > 1 else 0.0
-            else:
-                out[lo:hi] = self._range(part, off)
+            out[lo:hi] = self._range(part, off)
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:

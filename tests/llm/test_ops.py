@@ -335,3 +335,18 @@ def test_toxicity(spark):
     assert p[1] >= 0.5 > p[0] and p[2] >= 0.5 > p[3]
     assert {r.predicted for r in op10_toxicity.scored(docs, labels.limit(0), F.lit(False)).collect()} == {0}
     assert op10_toxicity.scored(docs.limit(0), labels, F.lit(False)).count() == 0
+
+
+def test_toxicity_of_long_texts(monkeypatch):
+    """A text read in pieces scores as one read at once."""
+    import pyarrow as pa
+
+    model = op10_toxicity.Model(op10_toxicity.Landmarks(["idiot", "moron"]), np.array([1.0, 1.0]), -0.5, np.array([0.0, 1.0, 1.0]))
+    clean = "The weather was mild and the garden looked green. "
+    texts = [clean * 40 + "You idiot.", clean * 3 + "You idiot and moron you idiot and moron " * 8 + ". " + clean, "We saw i d i o t " * 20 + "\n" + clean * 5, (clean + "You moron. ") * 30, "x" * 500 + " idiot", " \n" * 300]
+    whole = [model.features(pa.array([t]))[0].tolist() for t in texts]
+    assert whole[0][1] == pytest.approx(1 / 41)
+    for size in (16, 50, 64, 97):
+        monkeypatch.setattr(common, "CHUNK_BYTES", size)
+        monkeypatch.setattr(op10_toxicity, "CHUNK_BYTES", size)
+        assert [model.features(pa.array([t]))[0].tolist() for t in texts] == whole
