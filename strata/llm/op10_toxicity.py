@@ -197,8 +197,22 @@ def _sentences(text: str) -> list[list[str]]:
     return [s.split() for s in re.split(r"(?<=[.!?])[ \t\r\f\v]+|\n+", text) if s.strip()]
 
 
-def _examples(cues: dict[str, float]):
-    """From each labelled document its most suspicious sentence, and from a clean one also its middle one."""
+def _examples(cues: dict[str, float], marks: Landmarks):
+    """From each labelled document its most suspicious sentence, and from a clean one also its middle one, as sums of their words' kernels."""
+
+    seen: dict[str, int] = {}
+    kernels = np.zeros((0, len(marks.words)), np.float32)
+
+    def summed(sentences):
+        nonlocal kernels
+        short = [[letters(w)[:WIDTH] for w in s] for s in sentences]
+        if len(seen) > CACHE_WORDS:
+            seen.clear()
+            kernels = kernels[:0]
+        fresh = list(dict.fromkeys(w for s in short for w in s if w not in seen))
+        seen.update(zip(fresh, range(len(kernels), len(kernels) + len(fresh)), strict=True))
+        kernels = np.concatenate([kernels, marks.similar(fresh)])
+        return [kernels[[seen[w] for w in s]].sum(0, dtype=np.float64).tolist() for s in short]
 
     def run(batches):
         for b in batches:
@@ -210,10 +224,10 @@ def _examples(cues: dict[str, float]):
                 weight = [sum(cues.get(letters(w), 0.0) for w in s) for s in found]
                 worst = int(np.argmax(weight))
                 if label == 0 or weight[worst] > 0:
-                    rows.append((label, found[worst][:200]))
+                    rows.append((label, found[worst]))
                 if label == 0:
-                    rows.append((label, found[len(found) // 2][:200]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["label", "words"])
+                    rows.append((label, found[len(found) // 2]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(summed([r[1] for r in rows]), pa.list_(pa.float64()))], ["label", "sums"])
 
     return run
 
@@ -251,8 +265,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """A model from at most ``max_labelled`` labelled documents of docs.
 
-    The driver gets the words of that sample with the most weight, its example
-    sentences and two numbers a document.  Without both classes every document
+    The driver gets the words of that sample with the most weight, one number a
+    landmark of each example sentence and two numbers a document.  Without both classes every document
     scores the share of toxic labels, or 0 where there are none.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
@@ -273,12 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     marks = Landmarks(strong + [r["word"] for r in common if len(r["word"]) >= ORDER])
     if not marks.words:
         return Model(marks, np.zeros(0), 0.0, np.array([np.log(bad / good), 0.0, 0.0]))
-    examples = sample.mapInArrow(_examples({r["word"]: float(r["weight"]) for r in cues}), "label int, words array<string>").collect()
-    flat = [letters(w)[:WIDTH] for e in examples for w in e["words"]]
-    ends = np.concatenate([[0], np.cumsum([len(e["words"]) for e in examples])])
-    sim = np.vstack([marks.similar(flat), np.zeros((1, len(marks.words)))]).cumsum(0, dtype=np.float64)
-    sim = np.vstack([np.zeros((1, sim.shape[1])), sim])
-    x = sim[ends[1:]] - sim[ends[:-1]]
+    examples = sample.mapInArrow(_examples({r["word"]: float(r["weight"]) for r in cues}, marks), "label int, sums array<double>").collect()
+    x = np.array([e["sums"] for e in examples]).reshape(len(examples), len(marks.words))
     values, vectors = np.linalg.eigh(marks.similar(marks.words).astype(np.float64))
     half = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T  # inverse root of the landmarks' kernel
     w, bias = _svm(x @ half, np.array([e["label"] for e in examples]))

@@ -350,3 +350,13 @@ def test_toxicity_of_long_texts(monkeypatch):
         monkeypatch.setattr(common, "CHUNK_BYTES", size)
         monkeypatch.setattr(op10_toxicity, "CHUNK_BYTES", size)
         assert [model.features(pa.array([t]))[0].tolist() for t in texts] == whole
+
+
+def test_toxicity_learns_from_whole_sentences(spark):
+    """The insult comes late in a text without an end mark."""
+    plain = [f"{w} garden river weather walk" for w in ("mild", "green", "long", "warm")]
+    rows = [(i, " ".join([plain[(i + k) % 4] for k in range(60)] + (["you absolute moron"] if i % 2 else ["see you soon"]))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = op10_toxicity.train(docs, labels)
+    assert model.alpha @ model.landmarks.similar(["moron"])[0] > 0.1 > abs(model.alpha @ model.landmarks.similar(["weather"])[0])
