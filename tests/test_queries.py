@@ -26,3 +26,10 @@ def test_query_equals_sql(spark, sql, name):
     assert sorted(names) == sorted(df.columns)
     at = [names.index(c) for c in df.columns]
     assert sorted(map(repr, got)) == sorted(repr(tuple(r[i] for i in at)) for r in done.fetchall())
+
+
+def test_flow_runs_cover_the_whole_log(spark, tmp_path):
+    rows = [(1, 7, "view"), (2, 7, "error"), (20, 8, "click"), (21, 8, "error"), (39, 7, "click")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in QUERIES["v_flow_runs_all"](spark, str(tmp_path)).collect()}
+    assert got == {(7, 3, 1, 2, "view > error > click"), (8, 2, 1, 21, "click > error")}
