@@ -6,6 +6,7 @@ library's operators and compared with SQL written on its own.
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 from datetime import datetime
@@ -160,6 +161,7 @@ def _events(spark, d):
 
 
 EARLY, MIDDLE = "ts < timestamp_ntz'2024-01-10 00:00:00'", "ts < timestamp_ntz'2024-01-20 00:00:00' and event_id % 3 <> 0"
+LATE = "ts < timestamp_ntz'2024-01-25 00:00:00'"
 
 
 def q_classify(spark, d):
@@ -187,16 +189,25 @@ def q_scd2(spark, d):
     return _user_versions(spark, d).select("user_id", "event_type", "valid_from", "valid_to", "is_current")
 
 
-def q_scd2_snapshot(spark, d):
-    """Two snapshots of the users' state, applied one after the other."""
+def _snapshots(spark, d, moments):
     e = _events(spark, d)
     empty = spark.createDataFrame([], "user_id long, ts timestamp_ntz, event_type string, valid_from timestamp_ntz, valid_to timestamp_ntz, scd_id string")
     out = empty
-    for upto in (EARLY, "ts < timestamp_ntz'2024-01-25 00:00:00'"):
+    for upto in moments:
         out = versions.snapshot(out, versions.latest(e.filter(upto), ["user_id"], ["ts"]), "user_id", "ts", ["event_type"])
     return out.drop("ts")
 
 
+def q_scd2_snapshot(spark, d):
+    """Two snapshots of the users' state, applied one after the other."""
+    return _snapshots(spark, d, (EARLY, LATE))
+
+
+def q_scd2_snapshot_all(spark, d):
+    """The same and a last snapshot of all events."""
+    return _snapshots(spark, d, (EARLY, LATE, "true"))
+
+
 def q_fact_pit(spark, d):
     orders = load(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), (F.col("o_orderdate") + F.expr("interval '10227' day")).alias("moment"))
     v = _user_versions(spark, d).select("user_id", F.col("event_id").alias("version_id"), "valid_from", "valid_to")
@@ -281,18 +292,32 @@ def q_flow_runs_all(spark, d):
 
 
 def _lake(spark, name):
-    return LakeTable(spark, f"{tempfile.mkdtemp(prefix='strata-lake-')}/{name}")
+    """A table in the shared folder that the cluster names; in a temporary one where it names none with a path."""
+    shared = re.sub("^file:/+", "/", spark.conf.get("spark.checkpoint.dir", None) or "")
+    shared = shared if shared.startswith("/") else None
+    if shared:
+        os.makedirs(shared, exist_ok=True)
+    return LakeTable(spark, f"{tempfile.mkdtemp(prefix='strata-lake-', dir=shared)}/{name}")
 
 
-def q_bronze_insert_only(spark, d):
+def _landed(spark, d, last=()):
     e = _events(spark, d)
     t = _lake(spark, "bronze")
     t.create(e.filter(EARLY))
-    t.insert_if_absent(e.filter(MIDDLE), ["event_id"])
-    t.insert_if_absent(e.filter(MIDDLE), ["event_id"])
+    for batch in (MIDDLE, MIDDLE, *last):
+        t.insert_if_absent(e.filter(batch), ["event_id"])
     return t.df()
 
 
+def q_bronze_insert_only(spark, d):
+    return _landed(spark, d)
+
+
+def q_bronze_insert_only_all(spark, d):
+    """The same batches and a last one of all events."""
+    return _landed(spark, d, ["true"])
+
+
 def q_silver_upsert(spark, d):
     e = _events(spark, d)
     t = _lake(spark, "silver")
@@ -395,6 +420,8 @@ select count(*) as source, count(h) as in_silver, count(*) filter (where h is nu
     "scd2_snapshot": (q_scd2_snapshot, f"""with a as {_early}, b as {LATEST.format(E + " where ts < timestamp '2024-01-25 00:00:00'")}
 select a.user_id, a.event_type, a.ts as valid_from, case when b.ts > a.ts then b.ts end as valid_to, md5(a.user_id::varchar || '|' || a.ts::varchar) as scd_id from a left join b on a.user_id = b.user_id
 union all select b.user_id, b.event_type, b.ts, null, md5(b.user_id::varchar || '|' || b.ts::varchar) from b left join a on a.user_id = b.user_id where a.ts is null or b.ts > a.ts"""),
+    "scd2_snapshot_all": (q_scd2_snapshot_all, f"""with v as (select user_id, event_type, ts from {_early} union select user_id, event_type, ts from {LATEST.format(E + " where ts < timestamp '2024-01-25 00:00:00'")} union select user_id, event_type, ts from {LATEST.format(E)})
+select user_id, event_type, ts as valid_from, lead(ts) over (partition by user_id order by ts) as valid_to, md5(user_id::varchar || '|' || ts::varchar) as scd_id from v"""),
     "fact_pit_join": (q_fact_pit, "with v as (select user_id, event_id, ts, coalesce(lead(ts) over (partition by user_id order by ts), timestamp '9999-12-31 00:00:00') as e from events), o as (select o_orderkey, o_custkey % 150 as user_id, o_orderdate + interval 10227 day as moment from orders) select o_orderkey, o.user_id, moment, event_id as version_id from o left join v on v.user_id = o.user_id and moment >= ts and moment < e"),
     "fact_incremental_filter": (q_fact_filter, "with e as (select o_orderkey, o_orderdate from orders where o_orderdate < timestamp '1999-01-01 00:00:00' and o_orderkey % 13 <> 0) select o_orderkey, o_orderdate from orders where o_orderdate >= (select max(o_orderdate) from e) or o_orderkey not in (select o_orderkey from e)"),
     "fact_delete_insert": (q_fact_delete_insert, "select l_orderkey, l_linenumber, case when l_orderkey % 10 = 0 then l_extendedprice else 0.0 end as l_extendedprice from lineitem"),
@@ -411,6 +438,7 @@ union all select b.user_id, b.event_type, b.ts, null, md5(b.user_id::varchar ||
     "v_flow_runs": (q_flow_runs, "select user_id as run_id, count(*) as tasks, count(*) filter (where event_type = 'error') as failed, min(event_id) filter (where event_type = 'error') as first_failed, string_agg(event_type, ' > ' order by event_id) as path from events where event_id % 20 = 0 group by 1"),
     "v_flow_runs_all": (q_flow_runs_all, "select user_id as run_id, count(*) as tasks, count(*) filter (where event_type = 'error') as failed, min(event_id) filter (where event_type = 'error') as first_failed, string_agg(event_type, ' > ' order by event_id) as path from events group by 1"),
     "bronze_insert_only_merge": (q_bronze_insert_only, f"{E} where ({S_EARLY}) or ({S_MIDDLE})"),
+    "bronze_insert_only_merge_all": (q_bronze_insert_only_all, E),
     "silver_upsert_newer": (q_silver_upsert, NEWER.format(NEWER.format(f"select * from {_mid}", f"select * from {_all3}"), f"select * from {_early}")),
     "change_feed": (q_change_feed, f"""with a as {_early}, b as {_all3}, ins as (select b.user_id from b where user_id not in (select user_id from a)), upd as (select b.user_id from b join a on a.user_id = b.user_id where b.ts > a.ts), t as (select user_id from a union select user_id from b)
 select * from (select 2::bigint as _commit_version, 'insert' as _change_type, count(*) as rows from ins union all select 2, 'update_preimage', count(*) from upd union all select 2, 'update_postimage', count(*) from upd union all select 3, 'delete', count(*) from t where user_id % 10 = 1) where rows > 0"""),
