@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ CHUNK_BYTES = 1 << 20
 BROADCAST_ROWS = 50_000
 KEY_BITS = 60
 LEVEL_BITS = 10
+#: Bytes of whole texts that go to a Python worker at once (a longer text goes alone).
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,18 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where it names none."""
+    """The shared folder named by the cluster.
+
+    Where it names none: one in the warehouse, which is shared, or in local
+    mode, as in tests, a temporary one.
+    """
     sc = spark.sparkContext
     here = sc.getCheckpointDir()
     if here is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strata-checkpoint-"))
+        if not named:
+            local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+            named = tempfile.mkdtemp(prefix="strata-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/strata-checkpoint"
+        sc.setCheckpointDir(named)
         here = sc.getCheckpointDir()
     return here
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder.
+def materialize(df: DataFrame, written: list[str] | None = None) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, whose path is added to ``written``.
 
     Unlike a checkpoint, a table read again has its true size, from which
     Spark plans joins; sizes estimated from a checkpoint's origin multiply from
@@ -46,14 +56,56 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if written is not None:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables that nothing reads any more."""
+    sc = spark.sparkContext
+    for path in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def give_back() -> None:
+    """Return memory that a Python worker has freed, which its next task would else find taken."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow for whole texts: small batches, and the memory goes back when a partition ends.
+
+    The session's bound on a batch's bytes is lowered to BATCH_BYTES.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side whose row count was checked; plain (skew-splittable) join beyond."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
 

@@ -1,31 +1,39 @@
 """Toxicity with a subsequence string-kernel support vector machine.
 
-Two words are compared by the gap-weighted subsequence kernel (Lodhi et al.
-2002), which tolerates gaps and inserted characters.  A sentence is compared
-with a landmark by the sum of its words' kernels.  Landmarks are words that
+Two words are compared by the normalised gap-weighted subsequence kernel (Lodhi
+et al. 2002), which tolerates gaps and inserted characters; what two chance
+words share counts as nothing and what a word with an inserted letter keeps
+counts whole.  A sentence is as like a landmark as the likest of its words.  Landmarks are words that
 labelled toxic documents favour and some common ones; Nystrom features over
 them (Williams and Seeger 2001) feed a linear support vector machine trained on
-labelled sentences.  As sums stay sums, each word has one additive score; a
-document is judged by its worst sentence and its share of bad ones.
+labelled sentences.  A document is judged by its worst sentence and its share
+of bad ones.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, _cut_at_space, _words, crc_mod, materialize, row_ranges, table, text_buffer
+from .common import CHUNK_BYTES, _cut_at_space, _words, crc_mod, mapped, materialize, row_ranges, table, text_buffer
 
 #: Labelled documents used at most, those with the smallest hash of doc_id.
 MAX_LABELLED = 8000
-ORDER, DECAY, POWER = 3, 0.7, 3
+ORDER, DECAY = 3, 0.9
+#: Normalised kernels up to the first count as 0 and from the second on as 1, with a straight line between.
+CHANCE, WHOLE = 0.45, 0.6
 TOXIC_LANDMARKS, COMMON_LANDMARKS, CUES = 48, 16, 2000
+#: Log-likelihood ratio from which a word that toxic documents favour is a cue (Dunning 1993).
+SURE = 20.0
 WIDTH = 20
-#: Share of a landmark's neighbouring letters that a word must have in order, at most GAP apart, for the kernel to be worked out; else it counts as 0.
-SCREEN, GAP, PAIR_BUCKETS = 0.6, 3, 1024
-CACHE_WORDS = 1_000_000
+#: Letters of a word's stem.
+STEM = 5
+CACHE_WORDS = 200_000
 _CODE = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -68,94 +76,142 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _neighbours(codes: np.ndarray, gap: int) -> list[np.ndarray]:
-    return [(codes[:, :-d] * np.uint32(31) + codes[:, d:] * np.uint32(131)) % np.uint32(PAIR_BUCKETS) for d in range(1, gap + 1)]
+@functools.lru_cache(maxsize=None)
+def _subsequences(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the subsequences of ORDER letters in a word of a length, and their weights."""
+    places = np.array(list(itertools.combinations(range(length), ORDER)), np.int64).reshape(-1, ORDER)
+    return places, (DECAY ** (places[:, -1] - places[:, 0] + 1)).astype(np.float32)
 
 
 class Landmarks:
     def __init__(self, words: list[str]):
-        self.words, self.codes = words, _coded(words)
+        self.words = [w[:WIDTH] for w in words]
+        self.codes = _coded(self.words)
         self.own = _pairs(self.codes, self.codes)
-        near = _neighbours(self.codes, 1)[0] if len(words) else np.zeros((0, WIDTH - 1), np.uint32)
-        self.near = [row[: max(len(w[:WIDTH]) - 1, 0)].astype(np.int64) for row, w in zip(near, words, strict=True)]
+        # each subsequence of the landmarks' letters with the landmarks that have it, by its number in their alphabet
+        letters_ = np.unique(self.codes[self.codes > 0])
+        self.base = len(letters_) + 1
+        self.place = np.zeros(int(letters_.max(initial=0)) + 2, np.int32)
+        self.place[letters_] = np.arange(1, self.base)
+        rows = []
+        for k, word in enumerate(self.words):
+            places, weight = _subsequences(len(word))
+            number, at = np.unique(self._numbers(self.codes[k : k + 1], places)[0], return_inverse=True)
+            rows.append((number, np.full(len(number), k), np.bincount(at, weight, len(number))))
+        number, self.of, self.weight = (np.concatenate(x) if rows else np.zeros(0, np.int64) for x in (zip(*rows, strict=True) if rows else [[]] * 3))
+        order = np.argsort(number, kind="stable")
+        self.of, self.weight = self.of[order], self.weight[order].astype(np.float32)
+        self.first = np.searchsorted(number[order], np.arange(self.base**ORDER + 1)).astype(np.int32)
+
+    def _numbers(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Number of every subsequence; one with a letter that no landmark has is nobody's."""
+        x = self.place[np.minimum(codes, len(self.place) - 1)]
+        out = x[:, places[:, 0]]
+        for k in range(1, ORDER):
+            out = out * self.base + x[:, places[:, k]]
+        return out
 
     def similar(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel of every word with every landmark, to the power; 0 where the screen fails."""
-        out = np.zeros((len(words), len(self.words)), np.float32)
-        for lo in range(0, len(words), 8192):
-            codes = _coded(words[lo : lo + 8192])
-            has = np.zeros((len(codes), PAIR_BUCKETS), bool)
-            for d, pair in enumerate(_neighbours(codes, GAP), 1):
-                r, c = np.nonzero(codes[:, d:])
-                has[r, pair[r, c]] = True
-            hits = [np.flatnonzero(has[:, near].sum(1) >= SCREEN * len(near)) if len(near) else np.zeros(0, np.int64) for near in self.near]
-            w = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-            m = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-            if not len(w):
-                continue
-            mine = np.unique(w)
-            norm = np.zeros(len(codes), np.float32)
-            norm[mine] = _pairs(codes[mine], codes[mine])
-            k = _pairs(codes[w], self.codes[m])
-            base = np.sqrt(norm[w] * self.own[m])
-            out[lo + w, m] = np.where(base > 0, k / np.maximum(base, 1e-30), 0) ** POWER
+        """Likeness of every word with every landmark, 0 to 1."""
+        m = len(self.words)
+        out = np.zeros((len(words), m), np.float32)
+        if not m:
+            return out
+        lens = np.array([min(len(w), WIDTH) for w in words])
+        codes = _coded(words)
+        for length in range(ORDER, WIDTH + 1):
+            places, weight = _subsequences(length)
+            mine = np.flatnonzero(lens == length)
+            step = max(1, (1 << 20) // len(places))
+            for lo in range(0, len(mine), step):
+                at = mine[lo : lo + step]
+                number = self._numbers(codes[at], places)
+                n = self.first[number + 1] - self.first[number]
+                r, t = np.nonzero(n)
+                n = n[r, t]
+                entry = np.repeat(self.first[number[r, t]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                kernel = np.bincount(np.repeat(r, n) * m + self.of[entry], np.repeat(weight[t], n) * self.weight[entry], len(at) * m).reshape(len(at), m)
+                # a word's own kernel is at least the sum of its weights' squares
+                w, k = np.nonzero(kernel > CHANCE * np.sqrt(float((weight * weight).sum()) * self.own) * (1 - 1e-5))
+                some, back = np.unique(w, return_inverse=True)
+                norm = _pairs(codes[at[some]], codes[at[some]])[back]
+                out[at[w], k] = np.clip((kernel[w, k] / np.sqrt(norm * self.own[k]) - CHANCE) / (WHOLE - CHANCE), 0, 1)
         return out
 
 
 def windows(word: str) -> list[str]:
-    """A word of letters as overlapping windows of at most WIDTH letters."""
-    return [word] if len(word) <= WIDTH else [word[k : k + WIDTH] for k in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
+    """A word of letters as overlapping windows of at most WIDTH letters, and its stem, which endings do not change."""
+    whole = [word] if len(word) <= WIDTH else [word[k : k + WIDTH] for k in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
+    return whole + [word[:STEM]] if len(word) > STEM else whole
 
 
 class Model:
-    """Additive word scores, sentence bias and the document's logistic calibration."""
+    """Landmarks, their weights, the sentence bias and the document's logistic calibration."""
 
     def __init__(self, landmarks: Landmarks, alpha: np.ndarray, bias: float, logistic: np.ndarray):
-        self.landmarks, self.alpha, self.bias, self.logistic = landmarks, alpha.astype(np.float32), bias, logistic
-        self.hash, self.value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.landmarks, self.alpha, self.bias, self.logistic = landmarks, alpha.astype(np.float64), bias, logistic
+        self.clear()
 
-    def words(self, words: list[str]) -> np.ndarray:
+    def clear(self) -> None:
+        """Forget the likenesses of words seen."""
+        self.hash, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.marks, self.likeness = np.zeros(0, np.int32), np.zeros(0, np.float32)
+
+    def like(self, words: list[str]) -> np.ndarray:
+        """Likeness of every word, long ones by their windows, with every landmark."""
         parts = [windows(letters(w)) for w in words]
-        flat = [p for ps in parts for p in ps]
-        score = self.landmarks.similar(flat) @ self.alpha if len(self.alpha) else np.zeros(len(flat), np.float32)
-        return np.maximum.reduceat(score, np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1]) if parts else np.zeros(0, np.float32)
+        place = {p: k for k, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
+        found = self.landmarks.similar(list(place))[[place[p] for ps in parts for p in ps]]
+        return np.maximum.reduceat(found, np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1]) if parts else found
 
-    def _cached(self, h: np.ndarray, part: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    def _cached(self, h: np.ndarray, part: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries (word, landmark, likeness) of words with any likeness."""
         uniq, first, inv = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hash) > CACHE_WORDS:
-            self.hash, self.value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+            self.clear()
         where = np.searchsorted(self.hash, uniq)
         known = np.zeros(len(uniq), bool)
         if len(self.hash):
             known = self.hash[np.minimum(where, len(self.hash) - 1)] == uniq
         if not known.all():
             raw, at = part.tobytes(), first[~known]
-            score = self.words([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
-            self.hash = np.insert(self.hash, where[~known], uniq[~known])
-            self.value = np.insert(self.value, where[~known], score)
+            for lo in range(0, len(at), 8192):
+                a = at[lo : lo + 8192]
+                found = self.like([raw[x:y].decode("utf-8", "replace") for x, y in zip(s[a].tolist(), e[a].tolist(), strict=True)])
+                r, c = np.nonzero(found)
+                n = np.bincount(r, minlength=len(a))
+                fresh, order = uniq[~known][lo : lo + 8192], np.cumsum(n) - n
+                to = np.searchsorted(self.hash, fresh)
+                self.at, self.n = np.insert(self.at, to, len(self.marks) + order), np.insert(self.n, to, n)
+                self.hash = np.insert(self.hash, to, fresh)
+                self.marks, self.likeness = np.append(self.marks, c.astype(np.int32)), np.append(self.likeness, found[r, c])
             where = np.searchsorted(self.hash, uniq)
-        return self.value[where][inv]
+        at, n = self.at[where][inv], self.n[where][inv]
+        word = np.repeat(np.arange(len(h)), n)
+        place = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(word))
+        return word, self.marks[place], self.likeness[place]
 
-    def _scored(self, part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and score of each word; of a long text, piece by piece between words."""
+    def _read(self, part: np.ndarray, off: np.ndarray):
+        """Start and end of each word and the entries of words; of a long text, piece by piece between words."""
         pieces = _cut_at_space(part) if len(part) > 2 * CHUNK_BYTES else [part]
-        found, at = [], 0
+        found, at, words = [], 0, 0
         for p in pieces:
             with np.errstate(over="ignore"):
                 h, s, e = _words(p, off if len(p) == len(part) else np.array([0, len(p)]), _CODE)
             if len(h):
-                found.append((s + at, e + at, self._cached(h, p, s, e).astype(np.float64)))
+                word, mark, likeness = self._cached(h, p, s, e)
+                found.append((s + at, e + at, word + words, mark, likeness))
+                words += len(h)
             at += len(p)
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        s, e, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        return s, e, score
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _range(self, part: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Worst sentence and share of sentences above 0 of each row."""
         out = np.tile(np.array([self.bias, 0.0]), (len(off) - 1, 1))
-        s, e, score = self._scored(part, off)
-        if not len(s):
+        s, e, word, mark, likeness = self._read(part, off)
+        if not len(s) or not len(self.alpha):
             return out
         bounds = np.searchsorted(s, off)
         lines = np.flatnonzero(part == 10)
@@ -167,9 +223,16 @@ class Model:
         edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a >= 3:
-                score[a] += self.words([part[s[a:b]].tobytes().decode("utf-8", "replace")])[0]
+                found = self.like([part[s[a:b]].tobytes().decode("utf-8", "replace")])[0]
+                c = np.flatnonzero(found)
+                word, mark, likeness = np.append(word, np.full(len(c), a)), np.append(mark, c), np.append(likeness, found[c])
         at = np.flatnonzero(start)
-        f = np.add.reduceat(score, at) + self.bias
+        f = np.full(len(at), self.bias)
+        # the likest word of a sentence, for each landmark
+        cell = (np.searchsorted(at, word, "right") - 1) * len(self.alpha) + mark
+        order = np.lexsort((likeness, cell))
+        last = order[np.concatenate([cell[order][1:] != cell[order][:-1], [True]])] if len(order) else order
+        np.add.at(f, cell[last] // len(self.alpha), likeness[last] * self.alpha[cell[last] % len(self.alpha)])
         some = np.flatnonzero(np.diff(bounds))
         first = np.searchsorted(at, bounds[some])
         out[some, 0] = np.maximum.reduceat(f, first)
@@ -197,42 +260,52 @@ def _sentences(text: str) -> list[list[str]]:
     return [s.split() for s in re.split(r"(?<=[.!?])[ \t\r\f\v]+|\n+", text) if s.strip()]
 
 
+def _parts(word: str) -> tuple[str, str]:
+    """A word as cues have it: whole and as its stem."""
+    word = letters(word)
+    return word[:WIDTH], word[:STEM]
+
+
 def _examples(cues: dict[str, float], marks: Landmarks):
-    """From each labelled document its most suspicious sentence, and from a clean one also its middle one, as sums of their words' kernels."""
-
-    seen: dict[str, int] = {}
-    kernels = np.zeros((0, len(marks.words)), np.float32)
-
-    def summed(sentences):
-        nonlocal kernels
-        short = [[letters(w)[:WIDTH] for w in s] for s in sentences]
-        if len(seen) > CACHE_WORDS:
-            seen.clear()
-            kernels = kernels[:0]
-        fresh = list(dict.fromkeys(w for s in short for w in s if w not in seen))
-        seen.update(zip(fresh, range(len(kernels), len(kernels) + len(fresh)), strict=True))
-        kernels = np.concatenate([kernels, marks.similar(fresh)])
-        return [kernels[[seen[w] for w in s]].sum(0, dtype=np.float64).tolist() for s in short]
+    """Sentences of labelled documents, as their likest words' likenesses.
+
+    Of a toxic document the first sentence with each cue that is a landmark, of a clean one the most suspicious and the
+    middle one.
+    """
+    named = set(marks.words) & set(cues)
+    model = Model(marks, np.zeros(len(marks.words)), 0.0, np.zeros(3))
+
+    def likest(sentences):
+        place = {w: k for k, w in enumerate(dict.fromkeys(w for s in sentences for w in s))}
+        found = model.like(list(place))
+        return [found[[place[w] for w in s]].max(0).astype(np.float64).tolist() for s in sentences]
+
+    def chosen(label, found):
+        weight = [sum(max((cues.get(p, 0.0) for p in ps), default=0.0) for ps in map(_parts, s)) for s in found]
+        if label == 0:
+            return [found[int(np.argmax(weight))], found[len(found) // 2]]
+        first: dict[str, int] = {}
+        for k, sentence in enumerate(found):
+            if weight[k] > 0:
+                for w in sentence:
+                    for p in _parts(w):
+                        if p in named:
+                            first.setdefault(p, k)
+        return [found[k] for k in sorted(set(first.values()))]
 
     def run(batches):
         for b in batches:
             rows = []
             for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found = _sentences(text or "")
-                if not found:
-                    continue
-                weight = [sum(cues.get(letters(w), 0.0) for w in s) for s in found]
-                worst = int(np.argmax(weight))
-                if label == 0 or weight[worst] > 0:
-                    rows.append((label, found[worst]))
-                if label == 0:
-                    rows.append((label, found[len(found) // 2]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(summed([r[1] for r in rows]), pa.list_(pa.float64()))], ["label", "sums"])
+                if found:
+                    rows += [(label, s) for s in chosen(label, found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(likest([r[1] for r in rows]), pa.list_(pa.float64()))], ["label", "likest"])
 
     return run
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 400, reg: float = 1e-3) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 1500, reg: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss and balanced classes, by accelerated gradient descent."""
     sign = np.where(y == 1, 1.0, -1.0)
     cost = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y != 1).sum(), 1))
@@ -262,6 +335,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _apart(words: list[str], most: int) -> list[str]:
+    """The first ``most`` words, without those that count wholly as one before."""
+    like = Landmarks(words[: 8 * most]).similar(words[: 8 * most])
+    out: list[int] = []
+    for k in range(len(like)):
+        if len(out) < most and not (like[k, out] >= 1).any():
+            out.append(k)
+    return [words[k] for k in out]
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """A model from at most ``max_labelled`` labelled documents of docs.
 
@@ -270,25 +353,28 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     scores the share of toxic labels, or 0 where there are none.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(materialize(picked)), F.col("doc_id").cast("long") == F.col("id")).select("text", F.col("label").cast("int").alias("label")))
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(materialize(picked)), F.col("doc_id").cast("long") == F.col("id")).select("id", "text", F.col("label").cast("int").alias("label")))
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = seen.get(1, 0), seen.get(0, 0)
     if not bad or not good:
         prior = 30.0 if bad else -30.0
         return Model(Landmarks([]), np.zeros(0), 0.0, np.array([prior, 0.0, 0.0]))
     word = F.regexp_replace(F.lower("word"), r"[^\p{L}]", "")
-    words = sample.select("label", F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("word")).select("label", F.left(word, F.lit(WIDTH)).alias("word")).filter("word <> ''")
+    words = sample.select("id", "label", F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("word")).select("id", "label", word.alias("word")).filter("word <> ''")
+    words = words.select("id", "label", F.explode(F.array(F.left("word", F.lit(WIDTH)), F.left("word", F.lit(STEM)))).alias("word")).distinct()
     counted = words.groupBy("word").agg(F.sum("label").alias("t"), F.count_if(F.col("label") == 0).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
+    expected = (F.col("t") + F.col("c")) / float(bad + good)
+    ratio = 2 * (F.col("t") * F.log(F.greatest(F.col("t"), F.lit(1)) / (expected * bad)) + F.col("c") * F.log(F.greatest(F.col("c"), F.lit(1)) / (expected * good)))
     counted = counted.withColumn("weight", F.col("t") * odds)
-    cues = counted.filter((F.col("t") >= max(3, int(0.004 * bad))) & (odds > 1.5)).orderBy(F.col("weight").desc(), "word").limit(CUES).collect()
+    cues = counted.filter((odds > 0) & (ratio >= SURE)).orderBy(F.col("weight").desc(), "word").limit(CUES).collect()
     common = counted.filter((F.col("t") > 0) & (F.abs(odds) < 1.0)).orderBy(F.col("c").desc(), "word").limit(COMMON_LANDMARKS).collect()
-    strong = [r["word"] for r in cues if len(r["word"]) >= ORDER][:TOXIC_LANDMARKS]
+    strong = _apart([r["word"] for r in cues if len(r["word"]) >= ORDER], TOXIC_LANDMARKS)
     marks = Landmarks(strong + [r["word"] for r in common if len(r["word"]) >= ORDER])
     if not marks.words:
         return Model(marks, np.zeros(0), 0.0, np.array([np.log(bad / good), 0.0, 0.0]))
-    examples = sample.mapInArrow(_examples({r["word"]: float(r["weight"]) for r in cues}, marks), "label int, sums array<double>").collect()
-    x = np.array([e["sums"] for e in examples]).reshape(len(examples), len(marks.words))
+    examples = mapped(sample, _examples({r["word"]: float(r["weight"]) for r in cues}, marks), "label int, likest array<double>").collect()
+    x = np.array([e["likest"] for e in examples]).reshape(len(examples), len(marks.words))
     values, vectors = np.linalg.eigh(marks.similar(marks.words).astype(np.float64))
     half = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T  # inverse root of the landmarks' kernel
     w, bias = _svm(x @ half, np.array([e["label"] for e in examples]))
@@ -299,10 +385,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             f = model.features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(f[:, 0]), pa.array(f[:, 1])], ["label", "worst", "share"])
 
-    got = sample.mapInArrow(measured, "label int, worst double, share double").collect()  # max_labelled rows at most
+    got = mapped(sample, measured, "label int, worst double, share double").collect()  # max_labelled rows at most
     f = np.array([(r["worst"], r["share"]) for r in got])
     model.logistic = _logistic(f, np.array([float(r["label"]) for r in got]))
-    model.hash, model.value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    model.clear()
     return model
 
 
@@ -321,7 +407,7 @@ def scored(docs: DataFrame, labels: DataFrame, held_out, max_labelled: int = MAX
             p = model.scores(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark, sf_dir):
@@ -337,4 +423,4 @@ def stage(spark, docs, sf_dir):
         for b in batches:
             yield b.filter(pa.array(model.scores(b.column("text")) < 0.5)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
