@@ -9,63 +9,79 @@ Random Indexing").
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, mapped, table
 
 DIM = 512
-LETTERS = 4093
 CHUNK_CHARS = 1 << 19
 SEED = 29
 _state: dict[str, np.ndarray] = {}
 
 
-def _letter_class() -> np.ndarray:
-    """Class of every code point: 0 for all but letters, letters by code point modulo a prime."""
-    if "class" not in _state:
-        out = np.zeros(0x110000, np.int32)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                out[c] = c % LETTERS + 1
-        _state["class"] = out
-    return _state["class"]
+def _is_letter() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if "letter" not in _state:
+        _state["letter"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return _state["letter"]
+
 
+def letter_vector(code: int) -> np.ndarray:
+    """The +1 and -1 of a letter, by its code point (0: the gap between words); each letter has its own."""
+    raw = hashlib.shake_256(f"{SEED}:{code}".encode()).digest(DIM // 8)
+    return np.unpackbits(np.frombuffer(raw, np.uint8)).astype(np.int8) * 2 - 1
 
-def _letter_vectors() -> list[np.ndarray]:
-    """Letter vectors rotated by two, one and no place."""
-    if "vectors" not in _state:
-        v = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, (LETTERS + 1, DIM), dtype=np.int8) * 2 - 1
-        _state["vectors"] = [np.roll(v, k, axis=1) for k in (2, 1, 0)]
-    return _state["vectors"]
+
+_cached_vector = functools.lru_cache(maxsize=20_000)(letter_vector)
 
 
 def _pieces(texts: list[str | None]):
-    """(row, lower-case piece) with long texts cut, where they can be, so that pieces share two letters."""
+    """(row, lower-case piece, goes on from the one before, goes on in the next).
+
+    Pieces of a long text share two characters, not both of them gaps, so that
+    each trigram is in one piece.
+    """
+
+    def apart(text, cut):
+        return not any(c.isalpha() for c in text[cut - 2 : cut]) or len(text[cut - 2 : cut].lower()) > 2
+
     for row, text in enumerate(texts):
         if not text:
             continue
         at, n = 0, len(text)
         while n - at > CHUNK_CHARS:
             cut = at + CHUNK_CHARS
-            while cut > at + CHUNK_CHARS // 2 and not text[cut - 3 : cut].isalpha():
+            while cut > at + CHUNK_CHARS // 2 and apart(text, cut):
                 cut -= 1
-            yield row, text[at:cut].lower()
+            while cut < n and apart(text, cut):
+                cut += 1
+            if cut == n:
+                break
+            yield row, text[at:cut].lower(), at > 0, True
             at = cut - 2
-        yield row, text[at:].lower()
+        yield row, text[at:].lower(), at > 0, False
 
 
-def _bundle(rows: np.ndarray, parts: list[str], out: np.ndarray) -> None:
-    """Add the trigram vectors of each part to its row of out."""
+def _bundle(rows: np.ndarray, parts: list[str], inner: list[tuple[bool, bool]], out: np.ndarray) -> None:
+    """Add the trigram vectors of each part to its row of out; an inner end of a part is no gap."""
     codes = np.frombuffer(" ".join(["", *parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
     # every part stands between two blanks; a blank belongs to the part after it, and is given again to the one before
     owner = np.repeat(np.arange(len(parts)), lens + 2)
     starts = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
     at = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(lens + 2)])[:-1], lens + 2) + np.repeat(starts, lens + 2)
-    z = _letter_class()[codes[at]]
+    z = np.where(_is_letter()[codes[at]], codes[at], 0).astype(np.int64)
+    ends = np.cumsum(lens + 2)
+    real = np.ones(len(z), bool)
+    real[(ends - lens - 2)[[a for a, _ in inner]]] = False
+    real[(ends - 1)[[b for _, b in inner]]] = False
+    z, owner = z[real], owner[real]
     keep = np.ones(len(z), bool)
     keep[1:] = (z[1:] > 0) | (z[:-1] > 0) | (owner[1:] != owner[:-1])
     z, owner = z[keep], owner[keep]
@@ -75,8 +91,10 @@ def _bundle(rows: np.ndarray, parts: list[str], out: np.ndarray) -> None:
     a, b, c, who = a[some], b[some], c[some], who[some]
     if not len(a):
         return
-    local = np.flatnonzero(np.bincount(z))
-    index = np.zeros(int(local[-1]) + 1, np.int64)
+    present = np.zeros(int(z.max()) + 1, bool)
+    present[z] = True
+    local = np.flatnonzero(present)
+    index = np.zeros(len(present), np.int64)
     index[local] = np.arange(len(local))
     m = len(local)
     key = (index[a] * m + index[b]) * m + index[c]
@@ -87,10 +105,11 @@ def _bundle(rows: np.ndarray, parts: list[str], out: np.ndarray) -> None:
         inv = place[key]
     else:
         present, inv = np.unique(key, return_inverse=True)
-    v2, v1, v0 = _letter_vectors()
+    plain = np.stack([_cached_vector(c) for c in local.tolist()])
+    v2, v1, v0 = (np.roll(plain, k, axis=1) for k in (2, 1, 0))
     for lo in range(0, len(present), 8192):
         g = present[lo : lo + 8192]
-        vec = (v2[local[g // (m * m)]] * v1[local[g // m % m]] * v0[local[g % m]]).astype(np.float32)
+        vec = (v2[g // (m * m)] * v1[g // m % m] * v0[g % m]).astype(np.float32)
         here = slice(None) if len(present) <= 8192 else (inv >= lo) & (inv < lo + len(g))
         for first in range(0, len(parts), 512):
             n = min(512, len(parts) - first)
@@ -105,16 +124,17 @@ def _bundle(rows: np.ndarray, parts: list[str], out: np.ndarray) -> None:
 def document_vectors(texts: list[str | None]) -> np.ndarray:
     """One bundle per text, of whole numbers; zero where a text is null or has no letter."""
     out = np.zeros((len(texts), DIM), np.float64)
-    rows, parts, size = [], [], 0
-    for row, piece in _pieces(texts):
+    rows, parts, inner, size = [], [], [], 0
+    for row, piece, *ends in _pieces(texts):
         rows.append(row)
         parts.append(piece)
+        inner.append(tuple(ends))
         size += len(piece)
         if size >= CHUNK_CHARS:
-            _bundle(np.array(rows), parts, out)
-            rows, parts, size = [], [], 0
+            _bundle(np.array(rows), parts, inner, out)
+            rows, parts, inner, size = [], [], [], 0
     if parts:
-        _bundle(np.array(rows), parts, out)
+        _bundle(np.array(rows), parts, inner, out)
     return out
 
 
@@ -141,7 +161,7 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     Each task sends DIM whole numbers for each of its languages, whose sums do
     not depend on their order; the driver gets DIM numbers for each language.
     """
-    rows = docs.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(_learn, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
+    rows = mapped(docs.filter("lang is not null and text is not null").select("text", "lang"), _learn, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
     langs = sorted({r["lang"] for r in rows})
     out = np.zeros((len(langs), DIM))
     place = {x: k for k, x in enumerate(langs)}
@@ -178,7 +198,7 @@ def identified(docs: DataFrame, held_out) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     langs, protos = prototypes(rows.filter("not held_out"))
-    return rows.select("doc_id", "text", "held_out").mapInArrow(_predictor(langs, protos), "doc_id long, held_out boolean, lang_pred string, score double")
+    return mapped(rows.select("doc_id", "text", "held_out"), _predictor(langs, protos), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark, sf_dir):
