@@ -1,11 +1,16 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed byte n-grams, one of labelled good documents
-and one of the whole corpus, give every document the log ratio of its
-likelihoods.  A Gumbel number per document is added and the top k are taken
-(Xie et al. 2023, "Data Selection for Language Models via Importance
-Resampling").  k is the number of documents whose ratio reaches the level that
-best parts labelled good from labelled bad documents.
+and one of the whole corpus, give every document its importance weight, the log
+ratio of their likelihoods.  A Gumbel number per document is added and the top
+k are taken (Xie et al. 2023, "Data Selection for Language Models via
+Importance Resampling").  k is the number of documents whose ratio reaches the
+level that best parts labelled good from labelled bad documents.
+
+A weight counts the ratio of EVIDENCE n-grams at most, at the document's mean.
+Neighbouring n-grams overlap and words repeat, so the sum over thousands of
+them overstates what they tell; it would also put documents hundreds of nats
+apart, where Gumbel numbers, a few nats apart, decide nothing.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, KEY_BITS, crc_mod, materialize, nested_cuts, row_ranges, table, text_buffer
+from .common import CHUNK_BYTES, KEY_BITS, crc_mod, mapped, materialize, nested_cuts, row_ranges, table, text_buffer, unused
 
 GRAM = 5
 BUCKET_BITS = 17
@@ -25,6 +30,8 @@ BUCKET_BITS = 17
 MAX_LABELLED = 20_000
 #: A bucket's ratio is drawn to 1 by as much evidence as this many n-grams.
 SHRINK = 5.0
+#: N-grams that a document's weight counts at most.
+EVIDENCE = 40
 SEED = 17
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
@@ -89,18 +96,31 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> Dat
     return docs.join(F.broadcast(materialize(picked)), F.col("doc_id") == F.col("label_id"), "left")
 
 
+def models(raw: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the buckets in good documents and in all, each smoothed and summing to 1.
+
+    Both are seen through as many n-grams as the good ones, so that buckets
+    with little evidence come out alike.
+    """
+    total = good.sum() + SHRINK * len(good)
+    seen = raw * (good.sum() / max(raw.sum(), 1))
+    if not good.sum() or not raw.sum():
+        return np.full(len(raw), -np.log(len(raw))), np.full(len(raw), -np.log(len(raw)))
+    return np.log((good + SHRINK) / total), np.log((seen + SHRINK) / total)
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, np.ndarray, float]:
     """(doc_id, grams, log_ratio) per row of docs, the bucket table and the level that parts good from bad."""
     seen = labelled(docs.select("doc_id", "text"), labels, "quality", max_labelled)
     fit = F.col("label").isNotNull() & (crc_mod(F.col("doc_id"), 2) == 0)
-    counts = seen.select("text", (fit & (F.col("label") == 1)).alias("good")).mapInArrow(_gather, "bucket int, raw long, good long")
+    counts = mapped(seen.select("text", (fit & (F.col("label") == 1)).alias("good")), _gather, "bucket int, raw long, good long")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()  # 2**BUCKET_BITS rows at most
     raw, good = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
     for r in rows:
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
-    expected = raw * (good.sum() / max(raw.sum(), 1))
-    ratio = np.log((good + SHRINK) / (expected + SHRINK)).astype(np.float32) if good.sum() else np.zeros(len(raw), np.float32)
-    scores = materialize(seen.mapInArrow(_scorer(ratio), "doc_id long, grams long, log_ratio double, label int"))
+    of_good, of_all = models(raw, good)
+    ratio = (of_good - of_all).astype(np.float32)
+    scores = materialize(mapped(seen, _scorer(ratio), "doc_id long, grams long, log_ratio double, label int"))
     held = scores.filter((F.col("grams") > 0) & F.col("label").isNotNull() & (crc_mod(F.col("doc_id"), 2) == 1)).select("log_ratio", "label").collect()  # max_labelled rows at most
     return scores, ratio, _level([(r[0], r[1]) for r in held])
 
@@ -139,15 +159,15 @@ def _scorer(ratio):
     return run
 
 
-def gumbel(doc_id):
+def gumbel(doc_id, seed: int = SEED):
     """A standard Gumbel number from a hash of doc_id, the same on every run."""
-    u = (F.pmod(F.xxhash64(doc_id, F.lit(SEED)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
-def _with_keys(scores: DataFrame, level: float) -> DataFrame:
-    weight = F.col("grams") * (F.col("log_ratio") - F.lit(level))
-    return scores.withColumn("log_weight", F.when(F.col("grams") > 0, weight).otherwise(0.0)).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id")))
+def _with_keys(scores: DataFrame, seed: int) -> DataFrame:
+    weight = F.least(F.col("grams"), F.lit(EVIDENCE)) * F.col("log_ratio")
+    return scores.withColumn("log_weight", weight).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
 
 
 def _rank_key(gumbel_key):
@@ -156,16 +176,16 @@ def _rank_key(gumbel_key):
     return F.least(F.greatest((0.5 - gumbel_key / 2e6) * span, F.lit(0.0)), F.lit(float((1 << KEY_BITS) - 1024))).cast("long")
 
 
-def select_top(scores: DataFrame, level: float) -> DataFrame:
-    """The k documents with the largest Gumbel keys, k being the number at or above the level."""
-    keyed = _with_keys(scores, level).withColumn("key", _rank_key(F.col("gumbel_key")))
-    k = keyed.agg(F.count_if(F.col("log_weight") >= 0)).first()[0]
+def select_top(scores: DataFrame, level: float, seed: int = SEED) -> DataFrame:
+    """The k documents with the largest Gumbel keys, k being the number at or above the level (or without n-grams)."""
+    keyed = _with_keys(scores, seed).withColumn("key", _rank_key(F.col("gumbel_key")))
+    k = keyed.agg(F.count_if((F.col("grams") == 0) | (F.col("log_ratio") >= F.lit(level)))).first()[0]
     budget = keyed.sparkSession.range(1).select(F.lit("all").alias("grp"), F.lit(float(k)).alias("budget"))
     cut = nested_cuts(keyed.select(F.lit("all").alias("grp"), "key", F.lit(1).alias("weight")), budget, 1).first()
     return keyed.filter(F.col("key") <= (cut["cut"] if cut else -1)).drop("key")
 
 
-def resampled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
     """doc_id, grams, log_ratio, log_weight, gumbel_key of the documents taken.
 
     Null texts and texts below GRAM bytes have no n-gram and weight 0, so the
@@ -174,7 +194,7 @@ def resampled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     all are taken.  Extra columns of docs are ignored; an empty table gives no rows.
     """
     scores, _, level = log_ratios(docs, labels, max_labelled)
-    return select_top(scores, level).drop("label")
+    return select_top(scores, level, seed).drop("label")
 
 
 def query(spark, sf_dir):
@@ -187,18 +207,18 @@ def stage(spark, docs, sf_dir):
     The key of a text is worked out again beside the text, so that no text
     crosses a shuffle; only the cut, one number, is carried over.
     """
-    names = docs.columns
     scores, ratio, level = log_ratios(docs, table(spark, sf_dir, "labels"))
     lowest = select_top(scores, level).agg(F.min("gumbel_key")).first()[0]
     if lowest is None:
         return docs.limit(0)
-    rows = docs.withColumn("__gumbel", gumbel(F.col("doc_id").cast("long")))
+    names, extra = docs.columns, unused(docs, "gumbel")
+    rows = docs.withColumn(extra, gumbel(F.col("doc_id").cast("long")))
 
     def run(batches):
         for batch in batches:
             total, grams = _sums(batch, ratio)
             mean = np.round(total / np.maximum(grams, 1), 9)
-            key = np.where(grams > 0, grams * (mean - level), 0.0) + batch.column("__gumbel").to_numpy(zero_copy_only=False)
+            key = np.minimum(grams, EVIDENCE) * mean + batch.column(extra).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(key >= lowest - 1e-9)).select(names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return mapped(rows, run, docs.schema)
