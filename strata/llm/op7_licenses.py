@@ -13,6 +13,8 @@ no notice is wrapped and none has that clause.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,21 +86,71 @@ RULES = [
 BSD_NAMES = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
 HOLDER = "neither the name of (.+) nor the names of its contributors"
 HOLDER_CHARS = 200
-KNOWN = SENTENCES | {BSD_NAMES: "BSDNames"}
-BSD3 = ("BSD-3-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDNames"])
-#: All rules: a text with the third clause has the first two as well.
-ALL_RULES = [r for rule in RULES for r in ([BSD3, rule] if rule[0] == "BSD-2-Clause" else [rule])]
+#: Words of a sentence that is told even behind other words.
+LONG_WORDS = 12
+#: Further sentences of published licences, normalised as above.  The SQL does not look for them.
+MORE = {
+    BSD_NAMES: "BSDNames",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MITAsIs",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MITLiability",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSDAsIs",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BSDLiability",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISCAsIs",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "ISCLiability",
+    "distributed under the boost software license version 1 0": "BoostRef",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BoostGrant",
+    "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor": "BoostNotice",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UnlicenseGrant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "EPL2",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "EPL1",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL21Plus",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "LGPLNoWarranty",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3Plus",
+}
+#: Licences that a tag line may name.
+TAGS = ["Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "BSL-1.0", "MPL-2.0", "EPL-2.0", "Unlicense", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later"]
+KNOWN = SENTENCES | MORE | {" ".join(["spdx license identifier", *re.split("[^a-z0-9]+", t.lower())]): "Tag" + re.sub("[^A-Za-z0-9]", "", t) for t in TAGS}
+#: Rules for them; a rule for a whole licence is tried before one for its first sentences.
+BEFORE = {
+    "MIT": [("MIT", ["MITGrant", "MITNotice", "MITAsIs", "MITLiability"])],
+    "BSD-2-Clause": [
+        ("BSD-3-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDNames", "BSDAsIs", "BSDLiability"]),
+        ("BSD-3-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDNames"]),
+        ("BSD-2-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDAsIs", "BSDLiability"])],
+    "ISC": [("ISC", ["ISCGrant", "ISCAsIs", "ISCLiability"])],
+}
+AFTER = [
+    ("BSL-1.0", ["BoostGrant", "BoostNotice"]),
+    ("BSL-1.0", ["BoostRef"]),
+    ("Unlicense", ["Unlicense", "UnlicenseGrant"]),
+    ("Unlicense", ["Unlicense"]),
+    ("EPL-2.0", ["EPL2"]),
+    ("EPL-1.0", ["EPL1"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant"]),
+    ("LGPL-2.1-or-later", ["LGPL21Plus", "LGPLNoWarranty"]),
+    ("LGPL-2.1-or-later", ["LGPL21Plus"]),
+    ("AGPL-3.0-or-later", ["AGPL3Plus"]),
+    *((t, ["Tag" + re.sub("[^A-Za-z0-9]", "", t)]) for t in TAGS),
+]
+_firsts = {name: next(k for k, (x, _) in enumerate(RULES) if x == name) for name in BEFORE}
+ALL_RULES = [r for k, rule in enumerate(RULES) for r in [*(BEFORE[rule[0]] if _firsts.get(rule[0]) == k else []), rule]] + AFTER
 #: Every known sentence has one of these; a text without any is not cut into sentences.
-MARKS = ("licen", "permi", "warrant", "mpl", "copyright")
+MARKS = ("licen", "permi", "warrant", "mpl", "copyright", "liable", "unencumbered", "anyone is free")
 BREAK = r"[.;:!?]+(\s+|$)|[\r\n]+"
 
 
 def _pattern() -> str:
-    """Known sentences as whole pieces, in which a '|' may stand for any blank; the longest is tried first."""
+    """Known sentences as whole pieces, in which a '|' may stand for any blank; the longest is tried first.
+
+    A long one may follow other words, such as a title or a copyright line that a lost line break joined to it.
+    """
     gap = "[ |]"
-    forms = [s.replace(" ", gap) for s in sorted(KNOWN, key=len, reverse=True)]
+    forms = [("" if len(s.split()) >= LONG_WORDS else r"(?<=\|)") + s.replace(" ", gap) for s in sorted(KNOWN, key=len, reverse=True)]
     holder = BSD_NAMES.replace(" ", gap).replace(gap.join(["of", "the", "copyright", "holder", "nor"]), f"of{gap}[a-z0-9 |]{{1,{HOLDER_CHARS}}}?{gap}nor")
-    return rf"(?<=\|)(?:{'|'.join([*forms, holder])})(?=\|)"
+    return rf"(?<=[ |])(?:{'|'.join([*forms, holder])})(?=\|)"
 
 
 def _known(text: Column) -> Column:
