@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, materialize, table
+from .common import checkpoint_dir, mapped, materialize, table
 
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -107,8 +107,12 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     decoder = zstandard.ZstdDecompressor(dict_data=d) if d else zstandard.ZstdDecompressor()
     view = memoryview(data)
     while at < len(data):
-        if 0x184D2A50 <= struct.unpack_from("<I", data, at)[0] <= 0x184D2A5F and at + 8 <= len(data):
+        if at + 8 > len(data):
+            raise WarcError(f"{len(data) - at} stray bytes at the end")
+        if 0x184D2A50 <= struct.unpack_from("<I", data, at)[0] <= 0x184D2A5F:
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > len(data):
+                raise WarcError("a skippable frame is cut short")
             continue
         one = decoder.decompressobj()
         try:
@@ -227,7 +231,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, min_revisit
     linked = rows.join(again, F.col("sha") == F.col("again"), "left").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
-    return materialize(linked.select("page_id", "url", "html", "sha", "first").mapInArrow(_writer(folder, dictionary), "path string"))
+    return materialize(mapped(linked.select("page_id", "url", "html", "sha", "first"), _writer(folder, dictionary), "path string"))
 
 
 def read_archives(paths: DataFrame, folder: str) -> DataFrame:
