@@ -14,6 +14,10 @@ Larger groups are settled first: every document goes to one of its groups, in
 blocks of bounded size, where the tree's bitmaps have a bit for each shingle
 that two members share, so its leaves give exact overlaps and only links leave
 the task.  What other groups leave open is verified on the whole shingle sets.
+
+A group too large for one task is cut into blocks by component and size.  The
+blocks' nodes alone are traversed first; members then travel only to the pairs
+of blocks that these nodes leave open.
 """
 
 from __future__ import annotations
@@ -25,24 +29,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared, shingle_sets, table
+from .common import discard, mapped, materialize, shared, shingle_sets, table, unused
 
 SIG_MIN, SIG_MAX = 256, 65536
 FANOUT = 8
-#: Shingles that come up twice in a window of so many are counted as possibly frequent.
+#: Shingles that come up twice in a window of so many are counted as possibly frequent; those with hashes in the upper
+#: half, which come late in the order as it is, are not counted.
 WINDOW = 1 << 21
 #: Shingles counted so often come last in the order (which shingles these are affects speed alone).
-FREQUENT = 16
-FREQUENT_BITS = 1 << 24
-MARK_BITS = 1 << 24
+FREQUENT = 8
+#: Filters of ids and of frequent shingles have 16 to 32 bits for each, within these bounds; beyond, they let more pass.
+LEAST_BITS, MOST_BITS = 16, 28
 TASK_ROWS = 400_000
+#: Rows of a group that a task holds to tell groups of the same documents; larger ones pass through.
+HELD_ROWS = 500_000
 #: A group of up to so many rows is a single node, whose leaves are paired at once.
 SMALL = 16
 SLICE = 500
 PAIRS = "a long, b long, cut boolean"
-#: Documents in a block of a settled group, and times that documents are dealt to their groups.
+#: Documents in a block of a group, and times that documents are dealt to their groups.
 BLOCK = 512
-ROUNDS = 3
+ROUNDS = 2
+#: Rows beyond which the traversal of a group is cut into blocks.
+SPLIT = 1024
 #: Bytes of exact bitmaps that a block may use; beyond, hashed ones and whole sets.
 EXACT_BYTES = 1 << 26
 #: Partners of a document that the first pass over a larger group looks at.
@@ -79,15 +88,20 @@ def overlap_bound(or_a, and_a, max_a, or_b, and_b, max_b):
 class SignatureTree:
     """Levels of nodes, from leaves up, over documents ordered by size and bitmap."""
 
-    def __init__(self, sizes: np.ndarray, sigs: np.ndarray, comps: np.ndarray):
-        self.order = np.lexsort((sigs[:, 0], comps, sizes))
-        n, s, c = sizes[self.order], sigs[self.order], comps[self.order]
-        self.levels = [(s, s, n, n, c, c)]
+    def __init__(self, any_: np.ndarray, all_: np.ndarray, low: np.ndarray, high: np.ndarray, c0: np.ndarray, c1: np.ndarray):
+        """Leaves with the OR and AND of their bitmaps and the ranges of their sizes and components."""
+        self.order = np.lexsort((any_[:, 0], c0, low))
+        self.levels = [tuple(x[self.order] for x in (any_, all_, low, high, c0, c1))]
         while len(self.levels[-1][2]) > 1:
             o, a, low, high, c0, c1 = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(o, at), np.bitwise_and.reduceat(a, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
 
+    @classmethod
+    def of(cls, sizes: np.ndarray, sigs: np.ndarray, comps: np.ndarray) -> SignatureTree:
+        """A tree whose leaves are documents."""
+        return cls(sigs, sigs, sizes, sizes, comps, comps)
+
     def _possible(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         o, a, low, high, c0, c1 = self.levels[level]
         ok = (c0[i] != c1[i]) | (c0[j] != c1[j]) | (c0[i] != c0[j])
@@ -136,7 +150,7 @@ def _by_class(sizes, sigs: list[np.ndarray], comps) -> Iterator[tuple[np.ndarray
         if len(here) < 2:
             continue
         stack = np.stack([sigs[k] if words[k] == w else fold(sigs[k], w) for k in here.tolist()])
-        for i, j in SignatureTree(sizes[here], stack, comps[here]).pairs():
+        for i, j in SignatureTree.of(sizes[here], stack, comps[here]).pairs():
             a, b = here[i], here[j]
             mine = (words[a] == w) | (words[b] == w)
             yield a[mine], b[mine]
@@ -152,48 +166,89 @@ def _slices(batches, *cols):
 SURVEY = ["doc", "n", "sig", "h1", "h2", "token"]
 
 
+def _set_hashes(s: np.ndarray) -> tuple[int, int]:
+    return int(np.add.reduce(s).view(np.int64)), int(np.bitwise_xor.reduce((s ^ (s >> np.uint64(29))) * ODD).view(np.int64))
+
+
 def _survey(batches):
-    """Size, bitmap and set hash of every document; counts of shingles that repeat within a window."""
+    """Size, bitmap and set hashes of every document; counts of shingles that repeat within a window."""
     window: list[np.ndarray] = []
     held, seen = 0, []
 
     def close():
-        token, n = np.unique(np.concatenate(window), return_counts=True)
-        often = n >= 2
-        seen.append((token[often], n[often]))
+        token = np.concatenate(window)
+        window.clear()
+        token.sort()
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        n = np.diff(np.append(first, len(token)))
+        seen.append((token[first[n >= 2]], n[n >= 2]))
 
     for sets, ids in _slices(batches, "doc_id"):
         docs, sizes, sigs, h1, h2 = [], [], [], [], []
         for doc, s in zip(ids, sets, strict=True):
             docs.append(doc)
             sizes.append(len(s))
-            h1.append(int(np.add.reduce(s).view(np.int64)))
-            h2.append(int(np.bitwise_xor.reduce((s ^ (s >> np.uint64(29))) * ODD).view(np.int64)))
+            a, b = _set_hashes(s)
+            h1.append(a)
+            h2.append(b)
             sigs.append(signature(s).tobytes() if len(s) else None)
-            window.append(s)
-            held += len(s)
+            window.append(s[: int(np.searchsorted(s, np.uint64(1 << 63)))])
+            held += len(window[-1])
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.nulls(len(docs), pa.int64())], SURVEY)
         if held >= WINDOW:
             close()
-            window, held = [], 0
-    if window:
+            held = 0
+    if held:
         close()
     for token, n in seen:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(token), pa.int64()), pa.array(n.astype(np.int64)), pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64))], SURVEY)
 
 
-def _bit(values: np.ndarray, bits: int) -> np.ndarray:
-    return (values & np.uint64(bits - 1)).astype(np.int64)
+def _in_filter(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    at = (place & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def _is_marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    k = keys.astype(np.int64).view(np.uint64)
+    return _in_filter(marks, k ^ (k >> np.uint64(20)) ^ (k >> np.uint64(40)))
+
+
+def _mark(key):
+    """Where a key stands in a filter, before the filter's size is taken into account; as in _is_marked."""
+    return F.col(key).bitwiseXOR(F.shiftrightunsigned(key, 20)).bitwiseXOR(F.shiftrightunsigned(key, 40))
 
 
 def _prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The first shingles of a set that a linking set must share one of: rare ones by hash, then frequent ones."""
     k = len(s) - (3 * len(s) + 3) // 4 + 1
-    late = (frequent[_bit(s >> np.uint64(20), FREQUENT_BITS) >> 3] >> (_bit(s >> np.uint64(20), FREQUENT_BITS) & 7)) & 1 == 1
+    late = _in_filter(frequent, s >> np.uint64(20))
     early = s[~late]
     return early[:k] if len(early) >= k else np.concatenate([early, s[late][: k - len(early)]])
 
 
+def _units(batches, marks: np.ndarray, by_set: bool):
+    """Keys and shingle sets, a slice at a time, of the rows whose key the filter lets pass.
+
+    The key is the doc_id, or, where doc_ids repeat, stands for the shingle set.
+    """
+    for b in batches:
+        if not by_set:
+            b = b.filter(pa.array(_is_marked(marks, b.column("doc_id").to_numpy())))
+        for found, ids in _slices([b], "doc_id"):
+            keys, sets = [], []
+            for doc, s in zip(ids, found, strict=True):
+                if len(s):
+                    h1, h2 = _set_hashes(s) if by_set else (0, 0)
+                    keys.append(h1 ^ h2 ^ len(s) if by_set else doc)
+                    sets.append(s)
+            if by_set and keys:
+                on = _is_marked(marks, np.array(keys, np.int64)).tolist()
+                keys, sets = [k for k, o in zip(keys, on, strict=True) if o], [s for s, o in zip(sets, on, strict=True) if o]
+            if keys:
+                yield keys, sets
+
+
 def _find(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -201,49 +256,85 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def _emitter(frequent: np.ndarray, marks: np.ndarray):
-    """Prefix rows of the documents whose mark is set."""
+def _emitter(frequent: np.ndarray, marks: np.ndarray, by_set: bool):
+    """Prefix rows of the marked documents."""
 
     def run(batches):
-        for b in batches:
-            on = b.filter(pa.array(_marks_of(marks, b.column("mark").to_numpy())))
-            for found, ids in _slices([on], "doc_id"):
-                docs, sets = [], []
-                for doc, s in zip(ids, found, strict=True):
-                    if len(s):
-                        docs.append(doc)
-                        sets.append(s)
-                if not docs:
-                    continue
-                prefixes = [_prefix(s, frequent) for s in sets]
-                lens = [len(p) for p in prefixes]
-                token = np.concatenate(prefixes).view(np.int64)
-                doc, n = np.repeat(np.array(docs, np.int64), lens), np.repeat(np.array([len(s) for s in sets], np.int64), lens)
-                for lo in range(0, len(token), 50_000):
-                    hi = lo + 50_000
-                    yield pa.RecordBatch.from_arrays([pa.array(token[lo:hi]), pa.array(doc[lo:hi]), pa.array(n[lo:hi])], ["token", "doc", "n"])
+        for keys, sets in _units(batches, marks, by_set):
+            prefixes = [_prefix(s, frequent) for s in sets]
+            lens = [len(p) for p in prefixes]
+            token = np.concatenate(prefixes).view(np.int64)
+            key, n = np.repeat(np.array(keys, np.int64), lens), np.repeat(np.array([len(s) for s in sets], np.int64), lens)
+            for lo in range(0, len(token), 50_000):
+                hi = lo + 50_000
+                yield pa.RecordBatch.from_arrays([pa.array(token[lo:hi]), pa.array(key[lo:hi]), pa.array(n[lo:hi])], ["token", "doc", "n"])
 
     return run
 
 
-def _marks_of(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (marks[h >> 3] >> (h & 7)) & 1 == 1 if len(h) else np.zeros(0, bool)
+GROUPS = ["token", "doc", "n", "rows", "same"]
 
 
 def _grouped(batches):
-    """Of a task's prefix rows, each once, those whose shingle has two rows."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    t = pa.Table.from_batches(rows)
-    token, doc, n = (t.column(c).to_numpy() for c in ("token", "doc", "n"))
-    order = np.lexsort((n, doc, token))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in (token, doc, n)], axis=0)
-    order = order[fresh]
-    same = token[order][1:] == token[order][:-1]
-    often = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    yield from t.take(pa.array(order[often])).combine_chunks().to_batches(max_chunksize=20_000)
+    """Of prefix rows in order of token and doc, each once, those whose shingle has two documents or more.
+
+    ``same`` is equal for groups of the same documents.  A group of over
+    HELD_ROWS rows passes through, with that number and a ``same`` of its own.
+    """
+    held = [np.zeros(0, np.int64) for _ in range(3)]  # the group that the next batch may go on with
+    large = None  # the token of a group that passes through
+
+    def given(token, doc, n, whole):
+        nonlocal large
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+        token, doc, n = token[fresh], doc[fresh], n[fresh]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        d = doc.view(np.uint64)
+        with np.errstate(over="ignore"):
+            same = np.add.reduceat((d ^ (d >> np.uint64(31))) * ODD, first) ^ np.add.reduceat(((d * ODD) ^ ((d * ODD) >> np.uint64(27))) * ODD, first)
+        same, rows = same.view(np.int64).copy(), size.copy()
+        if not whole or (large is not None and token[0] == large):
+            k = -1 if not whole else 0
+            same[k], rows[k] = token[first[k]], HELD_ROWS + 1
+        keep = np.repeat(rows > 1, size)
+        cols = [token[keep], doc[keep], n[keep], np.repeat(rows, size)[keep], np.repeat(same, size)[keep]]
+        for lo in range(0, len(cols[0]), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 20_000]) for c in cols], GROUPS)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        token, doc, n = (np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("token", "doc", "n"), strict=True))
+        last = int(np.searchsorted(token, token[-1]))
+        if last:
+            yield from given(token[:last], doc[:last], n[:last], True)
+            large = None if token[-1] != large else large
+        if len(token) - last > HELD_ROWS or token[-1] == large:
+            large = int(token[-1])
+            end = last + int(np.searchsorted(doc[last:], doc[-1]))  # rows of the last document may go on
+            if end > last:
+                yield from given(token[last:end], doc[last:end], n[last:end], False)
+            held = [token[end:], doc[end:], n[end:]]
+        else:
+            held = [token[last:], doc[last:], n[last:]]
+    if len(held[0]):
+        yield from given(*held, True)
+
+
+def _once_each(batches):
+    """Of rows in order of same and token, those of the first token of each ``same``."""
+    same_now, token_now = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        same, token = b.column("same").to_numpy(), b.column("token").to_numpy()
+        turn = np.concatenate([[same[0] != same_now], same[1:] != same[:-1]])
+        at = np.maximum.accumulate(np.where(turn, np.arange(len(same)), -1))
+        chosen = np.where(at >= 0, token[np.maximum(at, 0)], token_now if token_now is not None else 0)
+        yield b.filter(pa.array(token == chosen)).select(GROUPS[:4])
+        same_now, token_now = same[-1], int(chosen[-1])
 
 
 def _exact_bits(sets: list[np.ndarray]) -> np.ndarray | None:
@@ -267,7 +358,7 @@ def _links_of(n, comp, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     names, root = np.unique(comp, return_inverse=True)
     parent = list(range(len(names)))
     bits = _exact_bits(sets)
-    pairs = _by_class(n, [signature(s) for s in sets], comp) if bits is None else SignatureTree(n, bits, comp).pairs()
+    pairs = _by_class(n, [signature(s) for s in sets], comp) if bits is None else SignatureTree.of(n, bits, comp).pairs()
     for i, j in pairs:
         for lo in range(0, len(i), 1 << 12):
             x, y = i[lo : lo + (1 << 12)], j[lo : lo + (1 << 12)]
@@ -282,17 +373,17 @@ def _links_of(n, comp, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(int(names[k]), int(names[end])) for k, end in enumerate(ends) if k != end]
 
 
-def _blocks(batches, *cols):
-    """Columns of each block with two members or more; rows come in order of blocks."""
+def _blocks(batches, *cols, by="block", least=2):
+    """Columns of each block of ``least`` rows or more; rows come in order of blocks."""
     now, rows = None, []
     for b in batches:
-        for block, *row in zip(*(b.column(c).to_pylist() for c in ("block", *cols)), strict=True):
+        for block, *row in zip(*(b.column(c).to_pylist() for c in (by, *cols)), strict=True):
             if block != now:
-                if len(rows) > 1:
+                if len(rows) >= least:
                     yield now, list(zip(*rows, strict=True))
                 now, rows = block, []
             rows.append(row)
-    if len(rows) > 1:
+    if len(rows) >= least:
         yield now, list(zip(*rows, strict=True))
 
 
@@ -351,23 +442,27 @@ def _leaf_pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names[k // len(names)]), pa.array(names[k % len(names)]), pa.array(np.zeros(len(k), bool))], ["a", "b", "cut"])
 
 
+MEMBERS = ["work", "token", "side", "doc", "n", "sig", "comp", *BLOCKS, *LOWS]
+
+
 def _tree_pairs(limit: int):
-    """Pairs of larger groups by dual traversal, at most ``limit`` partners a document.
+    """Pairs of larger groups by dual traversal, at most ``limit`` partners a document and piece of work.
 
-    A row with cut set names the shingle of a group with pairs put off; the next round looks at such groups with a
-    larger limit.
+    A piece of work is a group, a block of a large one, or two such blocks (the sides 1 and 2), between which alone
+    pairs are then sought.  A row with cut set names the shingle of a group with pairs put off; the next round looks at
+    such groups with a larger limit.
     """
 
-    def group(token, rows, out):
-        doc, n, comp = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
-        blocks = np.array([r[4 : 4 + ROUNDS] for r in rows]).T
-        lows = np.array([r[4 + ROUNDS :] for r in rows])
+    def traverse(token, rows, out):
+        side, doc, n, comp = (np.array([r[k] for r in rows]) for k in (0, 1, 2, 4))
+        blocks = np.array([r[5 : 5 + ROUNDS] for r in rows]).T
+        lows = np.array([r[5 + ROUNDS :] for r in rows])
         have, cut = np.zeros(len(rows), np.int64), False
-        for i, j in _by_class(n, [np.frombuffer(r[2], np.uint64) for r in rows], comp):
+        for i, j in _by_class(n, [np.frombuffer(r[3], np.uint64) for r in rows], comp):
             # of the groups that two documents share, the one that both name deals with them
             both = (lows[i] == lows[j]) & (lows[i] != NO_TOKEN)
             first = np.where(both, lows[i], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-            open_ = ~_settled(blocks, i, j) & (~both.any(axis=1) | (first == token))
+            open_ = ~_settled(blocks, i, j) & (~both.any(axis=1) | (first == token)) & ((side[i] == 0) | (side[i] != side[j]))
             i, j = i[open_], j[open_]
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if have[x] >= limit and have[y] >= limit:
@@ -383,24 +478,46 @@ def _tree_pairs(limit: int):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * len(pairs) + [True] * len(cut), pa.bool_())], ["a", "b", "cut"])
 
     def run(batches):
-        rows, now, out, cut = [], None, set(), []
-        for b in batches:
-            for token, *row in zip(*(b.column(c).to_pylist() for c in ("token", "doc", "n", "sig", "comp", *BLOCKS, *LOWS)), strict=True):
-                if token != now:
-                    if len(rows) > 1 and group(now, rows, out):
-                        cut.append(now)
-                    rows, now = [], token
-                    if len(out) > 200_000:
-                        yield batch_of(out, cut)
-                        out, cut = set(), []
-                rows.append(row)
-        if len(rows) > 1 and group(now, rows, out):
-            cut.append(now)
+        out, cut = set(), []
+        for _, (tokens, *cols) in _blocks(batches, *MEMBERS[1:], by="work"):
+            if traverse(tokens[0], list(zip(*cols, strict=True)), out):
+                cut.append(tokens[0])
+            if len(out) > 200_000:
+                yield batch_of(out, cut)
+                out, cut = set(), []
         yield batch_of(out, cut)
 
     return run
 
 
+NODES = "token long, block long, any_ binary, all_ binary, low long, high long, c0 long, c1 long"
+
+
+def _block_nodes(batches):
+    """The node of each block of a large group: OR and AND of the bitmaps, ranges of sizes and components."""
+    for block, (token, n, sig, comp) in _blocks(batches, "token", "n", "sig", "comp", by="work", least=1):
+        sigs = [np.frombuffer(x, np.uint64) for x in sig]
+        words = min(map(len, sigs))
+        stack = np.stack([fold(x, words) for x in sigs])
+        row = [token[0], block, np.bitwise_or.reduce(stack).tobytes(), np.bitwise_and.reduce(stack).tobytes(), min(n), max(n), min(comp), max(comp)]
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row], ["token", "block", "any_", "all_", "low", "high", "c0", "c1"])
+
+
+def _block_pairs(batches):
+    """Pairs of blocks of a group that their nodes do not rule out."""
+    for token, (block, any_, all_, *ranges) in _blocks(batches, "block", "any_", "all_", "low", "high", "c0", "c1", by="token"):
+        any_, all_ = ([np.frombuffer(x, np.uint64) for x in xs] for xs in (any_, all_))
+        block, ranges, words = np.array(block), [np.array(r) for r in ranges], np.array([len(x) for x in any_])
+        for w in np.unique(words).tolist():
+            here = np.flatnonzero(words >= w)
+            tree = SignatureTree(*(np.stack([fold(x[k], w) for k in here.tolist()]) for x in (any_, all_)), *(r[here] for r in ranges))
+            for i, j in tree.pairs():
+                x, y = here[i], here[j]
+                mine = (words[x] == w) | (words[y] == w)
+                x, y = block[x[mine]], block[y[mine]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), token)), pa.array(x), pa.array(y)], ["token", "x", "y"])
+
+
 def _packed(s: np.ndarray) -> bytes:
     """The upper 48 bits of each hash, which tell the shingles of two documents apart."""
     return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -411,15 +528,22 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.concatenate([np.zeros((len(six), 2), np.uint8), six], axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
-def _marked(marks: np.ndarray):
-    """Whole shingle sets of the documents whose mark is set."""
+def _whole_sets(marks: np.ndarray, by_set: bool):
+    """Shingle sets of the marked documents."""
+
+    def run(batches):
+        for keys, sets in _units(batches, marks, by_set):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([_packed(s) for s in sets], pa.binary())], ["doc", "shingles"])
+
+    return run
+
+
+def _marked_rows(marks: np.ndarray):
+    """Rows of the marked keys, so that the others cross no shuffle."""
 
     def run(batches):
         for b in batches:
-            part = b.filter(pa.array(_marks_of(marks, b.column("mark").to_numpy())))
-            for at in range(0, part.num_rows, SLICE):
-                p = part.slice(at, SLICE)
-                yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array([_packed(s) for s in shingle_sets(p.column("text"))], pa.binary())], ["doc", "shingles"])
+            yield b.filter(pa.array(_is_marked(marks, b.column("doc").to_numpy())))
 
     return run
 
@@ -430,13 +554,13 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, save=materialize) -> DataFrame:
     """(doc, comp): the smallest id reachable from every id in edges (a, b), by alternating stars.
 
     Kiveris et al. 2014, "Connected Components in MapReduce and Beyond".  All
     steps are joins and aggregates; nothing but a count comes to the driver.
     """
-    both = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    both = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     while True:
         # done when every id has one smaller neighbour, or only larger ones
@@ -448,16 +572,17 @@ def components(edges: DataFrame) -> DataFrame:
         large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
-        both = materialize(small)
-    return materialize(nodes.join(both.select(F.col("u").alias("doc"), F.col("v").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")))
+        both = save(small)
+    return save(nodes.join(both.select(F.col("u").alias("doc"), F.col("v").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")))
 
 
-def _bitmap(spark: SparkSession, positions: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of a column ``p`` of places below ``bits``; the driver gets bits / 8 bytes at most."""
+def _filter(places: DataFrame, column: str, most: int) -> np.ndarray:
+    """A filter of the places in a column, sized for ``most`` of them; the driver gets 2**MOST_BITS / 8 bytes at most."""
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, int(16 * most).bit_length()))
     out = np.zeros(bits // 8, np.uint8)
     size = 1 << 12
     # bitmap functions count from 1, 32768 to a bucket
-    rows = positions.select((F.col("p") + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    rows = places.select((F.col(column).bitwiseAND(F.lit(bits - 1)) + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
     for r in rows:
         at = (r["k"] - 1) * size
         out[at : at + size] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -469,71 +594,89 @@ def linked(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links, the document's
     own included.  Texts without words, and null ones, have no shingle and link
-    with nothing.  Rows that share a doc_id count as one document.  Rows with a
-    null doc_id get their size and a null component, and link with nothing.
-    Extra columns are ignored; an empty table gives no rows.
+    with nothing.  Rows that share a doc_id count as one document: what any of
+    its texts links with is in its component, which all its rows show, each
+    with the size of its own text.  Rows with a null doc_id get their size and
+    a null component, and link with nothing.  Extra columns are ignored; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = rows.filter("doc_id is not null").withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)))
+    known = rows.filter("doc_id is not null")
+    written: list[str] = []
 
-    def marks(ids):
-        """A filter of ids; an id that it lets pass for another one costs time alone."""
-        return _bitmap(spark, ids.select(F.pmod(F.xxhash64("doc"), F.lit(MARK_BITS)).alias("p")), MARK_BITS)
+    def save(df):
+        return materialize(df, written)
 
-    def once(df):
-        """Each row once; where no doc_id repeats they are so already."""
-        return df.distinct() if repeated else df
-
-    def sets_of(ids):
-        return materialize(once(marked.mapInArrow(_marked(marks(ids)), "doc long, shingles binary")))
-
-    survey = materialize(rows.mapInArrow(_survey, "doc long, n long, sig binary, h1 long, h2 long, token long"))
+    survey = materialize(mapped(rows, _survey, "doc long, n long, sig binary, h1 long, h2 long, token long"))
     sizes = survey.filter("token is null").select("doc", "n", "sig", "h1", "h2")
     often = survey.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    frequent = _bitmap(spark, often.select(F.shiftrightunsigned("token", 20).bitwiseAND(F.lit(FREQUENT_BITS - 1)).alias("p")), FREQUENT_BITS)
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    repeated = not sizes.filter("n > 0 and doc is not null").groupBy("doc").count().filter("count > 1").isEmpty()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 4 // TASK_ROWS + 1)
+    often = save(often.select(F.shiftrightunsigned("token", 20).alias("p")))
+    frequent = _filter(often, "p", often.count())
+    some = sizes.filter("n > 0 and doc is not null")
+    # where doc_ids repeat, a key stands for a shingle set, else it is the doc_id
+    by_set = not some.groupBy("doc").count().filter("count > 1").isEmpty()
+    key = F.col("h1").bitwiseXOR(F.col("h2")).bitwiseXOR(F.col("n")) if by_set else F.col("doc")
+    keyed = some.select(key.alias("doc"), "n", "sig", "h1", "h2")
     # one document stands for all with its set
-    sets = sizes.filter("n > 0 and doc is not null")
-    first = materialize(sets.groupBy("n", "h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")))
+    first = save(keyed.groupBy("n", "h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")))
     several = first.filter("doc < last").select("n", "h1", "h2", F.col("doc").alias("comp"))
-    labels = materialize(sets.join(several, ["n", "h1", "h2"]).select("doc", "comp").distinct())
-    sent = marked.mapInArrow(_emitter(frequent, marks(first)), "token long, doc long, n long")
-    groups = materialize(sent.repartition(tasks, "token").mapInArrow(_grouped, "token long, doc long, n long"))
-    bitmaps = once(sizes.filter("n > 0").select("doc", "n", "sig"))
-    bitmaps = materialize(bitmaps) if repeated else bitmaps
+    labels = save(keyed.join(several, ["n", "h1", "h2"]).select("doc", "comp").distinct())
+    facts = first.agg(F.count("*"), F.sum("n")).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(facts[1] or 0) // 4 // TASK_ROWS + 1)
+
+    def marks(ids, most):
+        """A filter of keys; one that it lets pass for another costs time alone."""
+        return _filter(ids.select(_mark("doc").alias("p")), "p", most)
+
+    def sets_of(ids):
+        ids = save(ids.select("doc").distinct())
+        found = mapped(known, _whole_sets(marks(ids, ids.count()), by_set), "doc long, shingles binary")
+        return save(found.dropDuplicates(["doc"]) if by_set else found)
+
+    def sigs_of(ids):
+        """doc, n, sig of keys, each once."""
+        ids = save(ids.select("doc").distinct())
+        found = keyed.select("doc", "n", "sig").mapInArrow(_marked_rows(marks(ids, ids.count())), "doc long, n long, sig binary").join(ids, "doc", "left_semi")
+        return found.groupBy("doc").agg(F.first("n").alias("n"), F.first("sig").alias("sig")) if by_set else found
+
+    sent = mapped(known, _emitter(frequent, marks(first, facts[0]), by_set), "token long, doc long, n long")
+    groups = sent.repartition(tasks, "token").sortWithinPartitions("token", "doc").mapInArrow(_grouped, "token long, doc long, n long, rows long, same long")
+    groups = groups.repartition(tasks, "same").sortWithinPartitions("same", "token").mapInArrow(_once_each, "token long, doc long, n long, rows long")
+    groups = save(groups)
+    few, large = groups.filter(F.col("rows") <= SMALL), groups.filter(F.col("rows") > SMALL)
+    large_sigs = None
+
+    def with_state(members, blocks=None):
+        """Members with their component and, if wanted, their blocks."""
+        out = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        return out if blocks is None else out.join(blocks, "doc", "left").fillna(0, BLOCKS)
 
     def opened(members):
-        """Members, with component, of groups with several; of groups of the same documents, one."""
-        known = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        # rows are distinct, so none cancels another
-        same = [F.bit_xor(F.xxhash64("doc", "n", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
-        open_ = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), *same).filter("c0 <> c1")
-        open_ = open_.groupBy("rows", "h1", "h2").agg(F.min("token").alias("token")).select("token", "rows")
-        return materialize(known.join(open_, "token"))
+        """Members, with component, of groups with several."""
+        here = with_state(members.select("token", "doc", "n"))
+        open_ = here.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).filter("c0 <> c1")
+        return save(here.join(open_.select("token", "rows"), "token"))
 
     def settle(members, blocks, name):
         """Deal each document of larger groups to one of them and find the links there; adds the blocks' ids to ``blocks``."""
         nonlocal labels
-        large = members.filter(F.col("rows") > SMALL)
         # the largest, then one by hash, which like documents often share
         choice = F.struct(F.lit(0) if name != BLOCKS[0] else F.col("rows"), F.xxhash64("token", F.lit(name)).alias("h"), "token")
-        dealt = large.groupBy("doc").agg(F.max(choice).alias("g"), F.first("n").alias("n"), F.first("comp").alias("comp"))
-        dealt = materialize(dealt.select("doc", "n", "comp", F.col("g.token").alias("token")))
+        dealt = members.groupBy("doc").agg(F.max(choice).alias("g"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+        dealt = save(dealt.select("doc", "n", "comp", F.col("g.token").alias("token")))
         count = dealt.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
         part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / BLOCK))
-        here = materialize(dealt.join(count.select("token", "c"), "token").select("doc", "n", "comp", F.xxhash64("token", part).alias("block")))
+        here = save(dealt.join(count.select("token", "c"), "token").select("doc", "n", "comp", F.xxhash64("token", part).alias("block")))
         if here.isEmpty():
             return blocks.withColumn(name, F.lit(0).cast("long"))
-        asked = here.join(large_sigs, "doc").repartition(tasks, "block").sortWithinPartitions("block", "doc")
-        asked = materialize(asked.select("block", "doc", "n", "comp", "sig").mapInArrow(_in_question, "doc long, n long, comp long, block long"))
+        asked = here.join(large_sigs.select("doc", "sig"), "doc").repartition(tasks, "block").sortWithinPartitions("block", "doc")
+        asked = save(asked.select("block", "doc", "n", "comp", "sig").mapInArrow(_in_question, "doc long, n long, comp long, block long"))
         found = asked.join(sets_of(asked), "doc").repartition(tasks, "block").sortWithinPartitions("block", "doc")
-        found = materialize(found.select("block", "n", "comp", "shingles").mapInArrow(_settle, "a long, b long"))
+        found = save(found.select("block", "n", "comp", "shingles").mapInArrow(_settle, "a long, b long"))
         labels = merged(found)
         both = blocks.join(here.select("doc", F.col("block").alias(name)), "doc", "full")
-        return materialize(both.select("doc", *[F.coalesce(c, F.lit(0)).alias(c) for c in both.columns[1:]]))
+        return save(both.select("doc", *[F.coalesce(c, F.lit(0)).alias(c) for c in both.columns[1:]]))
 
     def merged(links):
         """Labels after more links: only components that these join are looked at."""
@@ -541,64 +684,101 @@ def linked(docs: DataFrame) -> DataFrame:
             return labels
         one, two = (labels.select(F.col("doc").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
         ends = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        new = components(ends)
+        new = components(ends, save)
         now = labels.join(new.select(F.col("doc").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("doc", F.coalesce("new", "comp").alias("comp"))
-        return materialize(now.union(new.join(labels.select("doc"), "doc", "left_anti").select("doc", "comp")))
-
-    def candidates(members, limit):
+        return save(now.union(new.join(labels.select("doc"), "doc", "left_anti").select("doc", "comp")))
+
+    def in_blocks(hot):
+        """Work of groups of over SPLIT rows: their blocks, and the pairs of blocks that the blocks' nodes leave open."""
+        each = hot.groupBy("token", "comp").agg(F.count("*").alias("of_comp"))
+        # components of a block or more have blocks of their own
+        cell = hot.join(each, ["token", "comp"]).withColumn("own", F.when(F.col("of_comp") >= BLOCK, F.col("comp")).otherwise(F.lit(NO_TOKEN)))
+        cell = cell.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))))
+        parts = cell.groupBy("token", "own", "size").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        cell = cell.join(parts, ["token", "own", "size"]).withColumn("work", F.xxhash64("token", "own", "size", F.pmod(F.xxhash64("doc"), F.col("parts"))))
+        cell = save(cell.withColumn("side", F.lit(0)).select(*MEMBERS))
+        nodes = cell.repartition(tasks, "work").sortWithinPartitions("work").select("work", "token", "n", "sig", "comp").mapInArrow(_block_nodes, NODES)
+        pairs = save(nodes.repartition(tasks, "token").sortWithinPartitions("token", "block").mapInArrow(_block_pairs, "token long, x long, y long"))
+        ends = [pairs.select(F.xxhash64("token", "x", "y").alias("pair"), F.col(c).alias("work"), F.lit(k).alias("of")) for k, c in ((1, "x"), (2, "y"))]
+        sides = cell.join(ends[0].union(ends[1]), "work")
+        sides = sides.withColumn("work", F.col("pair")).withColumn("side", F.col("of"))
+        return cell.union(sides.select(*MEMBERS))
+
+    def candidates(large, limit, few=None):
         """Pairs of members that bitmaps, sizes and components leave open, and the shingles of groups with pairs put off."""
-        known = members.join(blocks, "doc", "left").fillna(0, BLOCKS)
-        few = known.filter(F.col("rows") <= SMALL).select("token", "doc", "n", "comp", *BLOCKS).repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)
-        large = known.filter(F.col("rows") > SMALL)
         named = [F.min(F.when(F.pmod("token", F.lit(len(LOWS))) == k, F.col("token"))) for k in range(len(LOWS))]
         named = large.groupBy("doc").agg(*[F.coalesce(c, F.lit(NO_TOKEN)).alias(k) for k, c in zip(LOWS, named, strict=True)])
-        many = large.join(large_sigs.join(named, "doc"), "doc").select("token", "doc", "n", "sig", "comp", *BLOCKS, *LOWS)
-        many = many.repartition(tasks, "token").sortWithinPartitions("token", "n", "doc").mapInArrow(_tree_pairs(limit), PAIRS)
-        leaves, found = materialize(few).select("a", "b").distinct(), materialize(many)
-        one, two = (bitmaps.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+        state = large_sigs.select("doc", "sig").join(named, "doc").join(blocks, "doc", "left").fillna(0, BLOCKS)
+        many = large.join(state, "doc")
+        work = many.filter(F.col("rows") <= SPLIT).withColumn("work", F.col("token")).withColumn("side", F.lit(0)).select(*MEMBERS)
+        hot = large.filter(F.col("rows") > SPLIT)
+        if not hot.isEmpty():
+            work = work.union(in_blocks(many.filter(F.col("rows") > SPLIT)))
+        work = work.repartition(tasks, "work").sortWithinPartitions("work", "side", "n", "doc")
+        found = save(work.mapInArrow(_tree_pairs(limit), PAIRS))
         # the traversal has compared the bitmaps of its own pairs
-        bounded = leaves.join(one, "a").join(two, "b").mapInArrow(_bounded, "a long, b long")
-        return bounded.union(found.filter("not cut").select("a", "b")).distinct(), found.filter("cut").select(F.col("a").alias("token"))
+        pairs = found.filter("not cut").select("a", "b")
+        if few is not None:
+            leaves = with_state(few.select("token", "doc", "n"), blocks).select("token", "doc", "n", "comp", *BLOCKS)
+            leaves = save(leaves.repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)).select("a", "b").distinct()
+            sigs = save(sigs_of(leaves.select(F.explode(F.array("a", "b")).alias("doc"))))
+            one, two = (sigs.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+            pairs = pairs.union(leaves.join(one, "a").join(two, "b").mapInArrow(_bounded, "a long, b long"))
+        return save(pairs.distinct().join(failed, ["a", "b"], "left_anti")), found.filter("cut").select(F.col("a").alias("token"))
 
     def resolve(pairs):
         """Verify pairs until each lies in one component or has failed."""
         nonlocal failed, labels
         share = 1
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")))
         while True:
             one, two = (labels.select(F.col("doc").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
             apart = pairs.join(failed, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
             # a document with one partner after the other, then with ever more at once
-            turn = materialize(apart.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).filter(F.col("k") <= share).select("a", "b"))
+            turn = save(apart.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).filter(F.col("k") <= share).select("a", "b"))
             if turn.isEmpty():
                 return
-            x, y = (sets.select(F.col("doc").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-            checked = materialize(turn.join(y, "b").join(x, "a").mapInArrow(_verify, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")))
-            failed = materialize(failed.union(checked.filter("not ok").select("a", "b")))
-            fresh = checked.filter("ok").select("a", "b")
-            labels = merged(fresh)
+            most = turn.count()
+            x, y = (sets.mapInArrow(_marked_rows(_filter(turn.select(_mark(k).alias("p")), "p", most)), "doc long, shingles binary").toDF(k, v) for k, v in (("a", "x"), ("b", "y")))
+            checked = save(turn.join(y, "b").join(x, "a").mapInArrow(_verify, "a long, b long, ok boolean"))
+            failed = save(failed.union(checked.filter("not ok").select("a", "b")))
+            labels = merged(checked.filter("ok").select("a", "b"))
             share *= 16
 
     failed = spark.createDataFrame([], "a long, b long")
     blocks, limit = spark.createDataFrame([], "doc long"), PARTNERS
+    if not large.isEmpty():
+        large_sigs = save(sigs_of(large))
+    else:
+        large_sigs = spark.createDataFrame([], "doc long, n long, sig binary")
     for name in BLOCKS:
-        groups = opened(groups.select("token", "doc", "n"))
-        if name == BLOCKS[0]:  # later rounds have fewer groups
-            large_sigs = materialize(bitmaps.select("doc", "sig").join(groups.filter(F.col("rows") > SMALL).select("doc").distinct(), "doc", "left_semi"))
-        blocks = settle(groups, blocks, name)
+        large = opened(large)
+        blocks = settle(large, blocks, name)
     while True:
-        groups = opened(groups.select("token", "doc", "n"))
-        pairs, cut = candidates(groups, limit)
-        pairs = materialize(pairs.join(failed, ["a", "b"], "left_anti"))
+        large = opened(large)
+        pairs, cut = candidates(large, limit, few)
         if not pairs.isEmpty():
             resolve(pairs)
         if cut.isEmpty():
             break
         # every pair of the other groups lies in one component or has failed by now
-        groups = groups.join(cut, "token", "left_semi")
+        large, few = large.join(cut, "token", "left_semi"), None
         limit *= 16
+    if by_set:
+        labels = _of_documents(some.select("doc", key.alias("key")), labels, save)
+    labels = materialize(labels)
+    discard(spark, written)
     out = sizes.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+
+
+def _of_documents(rows: DataFrame, labels: DataFrame, save) -> DataFrame:
+    """(doc, comp) per doc_id from rows (doc, key) and components of keys: documents join those of all their keys."""
+    at = save(rows.join(labels.withColumnRenamed("doc", "key"), "key", "left").select("doc", F.coalesce("comp", "key").alias("comp")).distinct())
+    low = at.groupBy("doc").agg(F.min("comp").alias("a"))
+    joined = components(at.join(low, "doc").select("a", F.col("comp").alias("b")), save)
+    at = save(at.join(joined.select(F.col("doc").alias("comp"), F.col("comp").alias("root")), "comp").select("doc", "root").distinct())
+    return at.join(at.groupBy("root").agg(F.min("doc").alias("comp")), "root").select("doc", "comp")
 
 
 def _bounded(batches):
@@ -618,11 +798,21 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """The document with the smallest doc_id of each component, in the columns of docs; repeated rows of it go once."""
+    """The document with the smallest doc_id of each component, in the columns of docs.
+
+    Of rows that share its doc_id the one with the smallest text stays; rows
+    with a null doc_id all stay.
+    """
     found = materialize(linked(docs))
-    keep = found.filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"])
+    kept, place = unused(docs, "kept"), unused(docs, "place")
+    keep = found.filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(kept)), "left_semi")
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    # null ids are spread by their texts
+    turn = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+    out = out.withColumn(place, F.row_number().over(turn)).filter((F.col(place) == 1) | F.col("doc_id").isNull())
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
