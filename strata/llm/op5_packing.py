@@ -11,6 +11,7 @@ then finds its place from its rank within its length.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -18,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _power, materialize, mix, small_side, table
+from .common import _power, mapped, materialize, mix, small_side, table
 
 CAPACITY = 2048
 #: Weights of the residual token, document-count and attention-cost capacities.
 NORM_WEIGHTS = (1.0, 0.05, 0.2)
 TOKENIZER = "word_bpe_49k.json"
-CHUNK_CHARS = 1 << 19
-CACHE_WORDS = 1_500_000
+#: Pieces that share a sequence in the pipeline at most, which bounds the segments of an attention mask.
+STAGE_DOCUMENTS = 64
+CHUNK_CHARS = 1 << 18
+CACHE_WORDS = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LETTER, _NUMBER, _OTHER, _UNSAFE = 1, 2, 3, 9
@@ -169,6 +172,7 @@ def _cutter(path: str | None, capacity: int):
     def run(batches):
         import public_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tok = _tokenizer(path or public_tokenizers.path(TOKENIZER))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -181,6 +185,7 @@ def _cutter(path: str | None, capacity: int):
                         rows.append((doc_id, piece, a, len(x), zlib.crc32(np.ascontiguousarray(x, "<u4"))))
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tok.clear()
 
     return run
 
@@ -263,7 +268,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, documents: int | None = No
     its own.  Extra columns are ignored; an empty table gives no rows.
     ``tokenizer`` is a file's path (by default the public word BPE).
     """
-    pieces = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = materialize(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _cutter(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     places = plan(counts, capacity, documents, attention)
     out = ranked(pieces, counts).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
@@ -275,4 +280,9 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    return packed(docs)
+    """Pieces of all documents, packed under all three constraints: a sequence has at most STAGE_DOCUMENTS pieces.
+
+    Attention over a sequence is bounded by its tokens; pieces of one document of up to ``CAPACITY`` tokens have to fit,
+    so no lower bound on it would hold.
+    """
+    return packed(docs, documents=STAGE_DOCUMENTS)

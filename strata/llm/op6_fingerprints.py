@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_sets, table
+from .common import mapped, shingle_sets, table
 
 K = 64
 HASH_BITS = 48
@@ -160,7 +160,7 @@ def compared(docs: DataFrame, k: int = K) -> DataFrame:
     rows = keyed.select("doc_id", "text", "k", F.explode(dealt("k")).alias("to"))
     rows = rows.select("doc_id", "text", "k", F.col("to").bitwiseAND(F.lit(_GHOST - 1)).alias("part"), (F.col("to") >= _GHOST).alias("ghost"))
     laid = rows.repartitionById(last + 1, F.col("part")).sortWithinPartitions("ghost", F.col("k").desc(), F.col("text").asc_nulls_first())
-    return laid.select("doc_id", "text", "ghost").mapInArrow(_walker(k), SCHEMA)
+    return mapped(laid.select("doc_id", "text", "ghost"), _walker(k), SCHEMA)
 
 
 def query(spark, sf_dir):
