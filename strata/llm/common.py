@@ -93,6 +93,16 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few rows of the driver as a table; unlike rows given as they are, it starts no Python worker on executors."""
+    names = [c.split() for c in columns.split(", ")]
+    arrays = [pa.array([r[k] for r in rows], _ARROW[kind]) for k, (_, kind) in enumerate(names)]
+    return spark.createDataFrame(pa.table(arrays, [n for n, _ in names]))
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side whose row count was checked; plain (skew-splittable) join beyond."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

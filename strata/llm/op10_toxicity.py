@@ -33,7 +33,8 @@ SURE = 20.0
 WIDTH = 20
 #: Letters of a word's stem.
 STEM = 5
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+WORDS_AT_ONCE = 1 << 15
 _CODE = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -71,8 +72,8 @@ def subsequence_kernel(x: np.ndarray, y: np.ndarray, order: int = ORDER, decay:
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x), np.float32)
-    for lo in range(0, len(x), 8192):
-        out[lo : lo + 8192] = subsequence_kernel(x[lo : lo + 8192], y[lo : lo + 8192])
+    for lo in range(0, len(x), 16384):
+        out[lo : lo + 16384] = subsequence_kernel(x[lo : lo + 16384], y[lo : lo + 16384])
     return out
 
 
@@ -127,7 +128,7 @@ class Landmarks:
                 at = mine[lo : lo + step]
                 number = self._numbers(codes[at], places)
                 n = self.first[number + 1] - self.first[number]
-                r, t = np.nonzero(n)
+                r, t = np.divmod(np.flatnonzero(n), n.shape[1])
                 n = n[r, t]
                 entry = np.repeat(self.first[number[r, t]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 kernel = np.bincount(np.repeat(r, n) * m + self.of[entry], np.repeat(weight[t], n) * self.weight[entry], len(at) * m).reshape(len(at), m)
@@ -161,8 +162,12 @@ class Model:
         """Likeness of every word, long ones by their windows, with every landmark."""
         parts = [windows(letters(w)) for w in words]
         place = {p: k for k, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
-        found = self.landmarks.similar(list(place))[[place[p] for ps in parts for p in ps]]
-        return np.maximum.reduceat(found, np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1]) if parts else found
+        found = self.landmarks.similar(list(place))
+        out = found[[place[ps[0]] for ps in parts]]
+        for k in range(1, max(map(len, parts), default=1)):
+            rows = [r for r, ps in enumerate(parts) if len(ps) > k]
+            out[rows] = np.maximum(out[rows], found[[place[parts[r][k]] for r in rows]])
+        return out
 
     def _cached(self, h: np.ndarray, part: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries (word, landmark, likeness) of words with any likeness."""
@@ -175,12 +180,12 @@ class Model:
             known = self.hash[np.minimum(where, len(self.hash) - 1)] == uniq
         if not known.all():
             raw, at = part.tobytes(), first[~known]
-            for lo in range(0, len(at), 8192):
-                a = at[lo : lo + 8192]
+            for lo in range(0, len(at), WORDS_AT_ONCE):
+                a = at[lo : lo + WORDS_AT_ONCE]
                 found = self.like([raw[x:y].decode("utf-8", "replace") for x, y in zip(s[a].tolist(), e[a].tolist(), strict=True)])
                 r, c = np.nonzero(found)
                 n = np.bincount(r, minlength=len(a))
-                fresh, order = uniq[~known][lo : lo + 8192], np.cumsum(n) - n
+                fresh, order = uniq[~known][lo : lo + WORDS_AT_ONCE], np.cumsum(n) - n
                 to = np.searchsorted(self.hash, fresh)
                 self.at, self.n = np.insert(self.at, to, len(self.marks) + order), np.insert(self.n, to, n)
                 self.hash = np.insert(self.hash, to, fresh)
@@ -366,7 +371,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
     expected = (F.col("t") + F.col("c")) / float(bad + good)
     ratio = 2 * (F.col("t") * F.log(F.greatest(F.col("t"), F.lit(1)) / (expected * bad)) + F.col("c") * F.log(F.greatest(F.col("c"), F.lit(1)) / (expected * good)))
-    counted = counted.withColumn("weight", F.col("t") * odds)
+    counted = materialize(counted.filter("t > 0").withColumn("weight", F.col("t") * odds))
     cues = counted.filter((odds > 0) & (ratio >= SURE)).orderBy(F.col("weight").desc(), "word").limit(CUES).collect()
     common = counted.filter((F.col("t") > 0) & (F.abs(odds) < 1.0)).orderBy(F.col("c").desc(), "word").limit(COMMON_LANDMARKS).collect()
     strong = _apart([r["word"] for r in cues if len(r["word"]) >= ORDER], TOXIC_LANDMARKS)

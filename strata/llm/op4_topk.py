@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import local_frame, materialize, table
 
 K = 20
 SCALE = 64
@@ -240,17 +240,17 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     largest = F.coalesce(F.array_max(F.transform("q", F.abs)), F.lit(0))
     facts = rows.agg(F.count("*"), F.max(norm), F.max(largest), F.max(F.size("q"))).first()
     if not facts[0] or not facts[3]:
-        return spark.createDataFrame([], RESULT)
+        return local_frame(spark, [], RESULT)
     dim = int(facts[3])
     sample = rows.select("vec_id", "q").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     first = _matrix(pa.array([r["q"] for r in sample], pa.list_(pa.int64())), dim)
     index = Index(first, np.array([r["vec_id"] for r in sample]), float(facts[1]), float(facts[2]), dim)
     keyed = materialize(rows.mapInArrow(_keyer(index), "vec_id long, pivot int, dist double, raw binary, is_query boolean"))
     sizes = keyed.groupBy("pivot").agg(F.count("*").alias("n")).collect()  # PIVOTS rows at most
-    cut = F.broadcast(spark.createDataFrame([(r["pivot"], -(-r["n"] // PART_ROWS)) for r in sizes], "pivot int, parts int"))
+    cut = F.broadcast(local_frame(spark, [(r["pivot"], -(-r["n"] // PART_ROWS)) for r in sizes], "pivot int, parts int"))
     dealt = keyed.join(cut, "pivot").withColumn("share", F.pmod(F.xxhash64("vec_id", "raw", F.lit(3)), F.col("parts")).cast("int"))
     cells = sorted(dealt.groupBy("pivot", "share").agg(F.min("dist").alias("low"), F.max("dist").alias("high")).collect())  # a row for PART_ROWS vectors
-    number = F.broadcast(spark.createDataFrame([(k_, c["pivot"], c["share"]) for k_, c in enumerate(cells)], "part int, pivot int, share int"))
+    number = F.broadcast(local_frame(spark, [(k_, c["pivot"], c["share"]) for k_, c in enumerate(cells)], "part int, pivot int, share int"))
     held = dealt.join(number, ["pivot", "share"]).select("part", F.lit(False).alias("query"), "dist", "vec_id", F.lit(NONE).alias("bound"), "raw")
     grid = np.array([(c["pivot"], c["low"], c["high"]) for c in cells], float).reshape(-1, 3)
     asked = keyed.filter("is_query").select("vec_id", "raw").distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _power, mapped, materialize, mix, small_side, table
+from .common import _power, local_frame, mapped, materialize, mix, small_side, table
 
 CAPACITY = 2048
 #: Weights of the residual token, document-count and attention-cost capacities.
@@ -159,21 +159,13 @@ class WordTokenizer:
         return out
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 def _cutter(path: str | None, capacity: int):
     def run(batches):
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        tok = _tokenizer(path or public_tokenizers.path(TOKENIZER))
+        # the tokenizer goes when the partition ends: idle workers would each keep one
+        tok = WordTokenizer(path or public_tokenizers.path(TOKENIZER))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -185,7 +177,6 @@ def _cutter(path: str | None, capacity: int):
                         rows.append((doc_id, piece, a, len(x), zlib.crc32(np.ascontiguousarray(x, "<u4"))))
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        tok.clear()
 
     return run
 
@@ -238,7 +229,7 @@ def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
     """Add rank, from 0 within each length; a frequent length is ranked in parts."""
     spark, total = pieces.sparkSession, sum(counts.values())
     part = max(400, total // 10_000)
-    salts = spark.createDataFrame([(k, -(-c // part)) for k, c in counts.items()], "length long, salts long")  # a row for each length
+    salts = local_frame(spark, [(k, -(-c // part)) for k, c in counts.items()], "length long, salts long")  # a row for each length
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("rows"))
     base = sizes.select("length", "salt", (F.sum("rows").over(Window.partitionBy("length").orderBy("salt")) - F.col("rows")).alias("base"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mapped, materialize, shared, shingle_sets, table, unused
+from .common import discard, local_frame, mapped, materialize, shared, shingle_sets, small_side, table, unused
 
 SIG_MIN, SIG_MAX = 256, 65536
 FANOUT = 8
@@ -52,6 +52,8 @@ BLOCK = 512
 ROUNDS = 2
 #: Rows beyond which the traversal of a group is cut into blocks.
 SPLIT = 1024
+#: Ids to drop that the stage sends to every task at most (16 MB); beyond, documents are joined with them.
+DROP_ROWS = 1_000_000
 #: Bytes of exact bitmaps that a block may use; beyond, hashed ones and whole sets.
 EXACT_BYTES = 1 << 26
 #: Partners of a document that the first pass over a larger group looks at.
@@ -656,7 +658,8 @@ def linked(docs: DataFrame) -> DataFrame:
         """Members, with component, of groups with several."""
         here = with_state(members.select("token", "doc", "n"))
         open_ = here.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).filter("c0 <> c1")
-        return save(here.join(open_.select("token", "rows"), "token"))
+        open_ = save(open_.select("token", "rows"))
+        return save(here.join(small_side(open_, open_.count()), "token"))
 
     def settle(members, blocks, name):
         """Deal each document of larger groups to one of them and find the links there; adds the blocks' ids to ``blocks``."""
@@ -738,19 +741,18 @@ def linked(docs: DataFrame) -> DataFrame:
             turn = save(apart.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).filter(F.col("k") <= share).select("a", "b"))
             if turn.isEmpty():
                 return
-            most = turn.count()
-            x, y = (sets.mapInArrow(_marked_rows(_filter(turn.select(_mark(k).alias("p")), "p", most)), "doc long, shingles binary").toDF(k, v) for k, v in (("a", "x"), ("b", "y")))
+            x, y = (sets.toDF(k, v) for k, v in (("a", "x"), ("b", "y")))
             checked = save(turn.join(y, "b").join(x, "a").mapInArrow(_verify, "a long, b long, ok boolean"))
             failed = save(failed.union(checked.filter("not ok").select("a", "b")))
             labels = merged(checked.filter("ok").select("a", "b"))
             share *= 16
 
-    failed = spark.createDataFrame([], "a long, b long")
-    blocks, limit = spark.createDataFrame([], "doc long"), PARTNERS
+    failed = local_frame(spark, [], "a long, b long")
+    blocks, limit = local_frame(spark, [], "doc long"), PARTNERS
     if not large.isEmpty():
         large_sigs = save(sigs_of(large))
     else:
-        large_sigs = spark.createDataFrame([], "doc long, n long, sig binary")
+        large_sigs = local_frame(spark, [], "doc long, n long, sig binary")
     for name in BLOCKS:
         large = opened(large)
         blocks = settle(large, blocks, name)
@@ -804,9 +806,11 @@ def stage(spark, docs, sf_dir):
     with a null doc_id all stay.
     """
     found = materialize(linked(docs))
-    kept, place = unused(docs, "kept"), unused(docs, "place")
-    keep = found.filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
-    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(kept)), "left_semi")
+    gone, place = unused(docs, "gone"), unused(docs, "place")
+    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    # texts cross no shuffle while the ids to drop can be sent to every task
+    drop = F.broadcast(drop) if drop.count() <= DROP_ROWS else drop
+    out = docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return out
     # null ids are spread by their texts

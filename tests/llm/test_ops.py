@@ -61,45 +61,176 @@ def test_cuts_with_ties(spark):
     assert got["a"] == 5 and got[None] >= 7  # 500 is nearer to 400 than 0
 
 
-def test_quality(spark, docs, labels):
-    rows = op2_quality.resampled(docs, labels).collect()
-    scores, ratio, level = op2_quality.log_ratios(docs, labels)
-    for r in scores.collect():  # every text from its bytes, one n-gram after the other
-        raw = np.frombuffer((TEXTS[r.doc_id] or "").encode(), np.uint8)
-        n = max(len(raw) - op2_quality.GRAM + 1, 0)
-        assert r.grams == n and r.log_ratio == pytest.approx(float(ratio[op2_quality._buckets(raw)].sum()) / max(n, 1), abs=1e-5)
-    want = scores.filter(f"grams = 0 or log_ratio >= {level}").count()
-    assert abs(len(rows) - want) <= 1
-    assert op2_quality.resampled(docs, labels.limit(0)).count() >= len(TEXTS) - 1
-    assert op2_quality.resampled(docs.limit(0), labels).count() == 0
-    assert op2_quality.stage.__doc__ and sorted(r.doc_id for r in op2_quality.select_top(scores, level).collect()) == sorted(r.doc_id for r in rows)
+def quality_by_hand(rows, labels, gumbels):
+    """doc_id and key of every document taken, from n-grams one after the other."""
+    m = op2_quality
+
+    def grams(text):
+        raw = [x + 1 for x in (text or "").encode()]
+        out = []
+        for k in range(len(raw) - m.GRAM + 1):
+            h = 0
+            for x, f in zip(raw[k : k + m.GRAM], m._FACTORS.tolist(), strict=True):
+                h = (h * 31 + x * f) % 2**32
+            h ^= h >> 15
+            out.append((h * 0x2C1B3C6D % 2**32) >> (32 - m.BUCKET_BITS))
+        return out
+
+    side = lambda i: zlib.crc32(str(i).encode()) % 2
+    found = {i: grams(t) for i, t in rows}
+    raw, good = defaultdict(int), defaultdict(int)
+    for i, gs in found.items():
+        for g in gs:
+            raw[g] += 1
+            good[g] += labels.get(i) == 1 and side(i) == 0
+    n_raw, n_good, size = sum(raw.values()), sum(good.values()), 2**m.BUCKET_BITS
+    ratio = {g: np.log((good[g] + m.SHRINK) / (n_good + m.SHRINK * size)) - np.log((raw[g] * n_good / n_raw + m.SHRINK) / (n_good + m.SHRINK * size)) for g in raw}
+    mean = {i: sum(ratio[g] for g in gs) / max(len(gs), 1) for i, gs in found.items()}
+    held = sorted((mean[i], labels[i]) for i in found if i in labels and side(i) == 1 and found[i])
+    cuts = [held[0][0] - 1] + [x for x, _ in held] + [held[-1][0] + 1]
+    best = []
+    for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+        at = (a + b) / 2
+        best.append((at, np.mean([x < at for x, y in held if y == 0]) + np.mean([x >= at for x, y in held if y == 1])))
+    level = next(at for at, gain in best if gain >= max(g for _, g in best) - 0.02)
+    k = sum(not found[i] or mean[i] >= level for i in found)
+    keys = {i: min(len(found[i]), m.EVIDENCE) * mean[i] + gumbels[i] for i in found}
+    return {i: keys[i] for i in sorted(keys, key=lambda i: -keys[i])[:k]}
 
 
-def test_language(spark, docs):
-    a = op3_language.document_vectors(["ab", None, "..", LONG[:1000], "abba" * 200_000])
-    v = op3_language._letter_vectors()
-    z = [0, ord("a") % op3_language.LETTERS + 1, ord("b") % op3_language.LETTERS + 1, 0]
-    want = sum(v[0][z[k]].astype(int) * v[1][z[k + 1]] * v[2][z[k + 2]] for k in range(2))
-    assert (a[0] == want).all() and not a[1].any() and not a[2].any() and a[4].any()
-    rows = {r.doc_id: r for r in op3_language.identified(docs, F.lit(False)).collect()}
-    assert len(rows) == len(TEXTS) and rows[1].lang_pred == "und" and rows[3].lang_pred == "und" and rows[0].lang_pred in ("en", "de") and all(0 <= r.score <= 1 for r in rows.values())
-    assert {r.lang_pred for r in op3_language.identified(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(False)).collect()} == {"und"}
+@pytest.fixture(scope="module")
+def mixed_quality(spark):
+    rng = np.random.default_rng(4)
+    good, bad = [f"word{k} " for k in range(40)], [f"#{k}%!{k * 7} " for k in range(40)]
+    rows = []
+    for i in range(160):
+        share = (i % 8) / 7
+        rows.append((i, "".join(rng.choice(good if rng.random() < share else bad) for _ in range(int(rng.integers(1, 60))))))
+    rows += [(500, None), (501, ""), (502, "ab")]
+    labels = {i: int(i % 8 > 3) for i in range(0, 160, 2)} | {500: 0}
+    return rows, labels, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+
+
+def test_quality_against_brute_force(spark, mixed_quality):
+    rows, labels, docs, frame = mixed_quality
+    taken = []
+    for seed in (1, 2, 3):
+        gumbels = {r.doc_id: r.g for r in docs.select("doc_id", op2_quality.gumbel(F.col("doc_id"), seed).alias("g")).collect()}
+        want = quality_by_hand(rows, labels, gumbels)
+        got = {r.doc_id: r.gumbel_key for r in op2_quality.resampled(docs, frame, seed=seed).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-4) for i in got)
+        taken.append(frozenset(got))
+    assert len(set(taken)) > 1 and len({len(t) for t in taken}) == 1  # the Gumbel numbers decide near the level
+    assert len(frozenset.intersection(*taken)) > 0.8 * len(taken[0])
+
+
+def test_quality_models_are_distributions():
+    rng = np.random.default_rng(1)
+    raw = rng.integers(0, 50, 1 << 10).astype(float)
+    for good in (np.floor(raw * rng.random(1 << 10)), np.zeros(1 << 10)):
+        for logs in op2_quality.models(raw, good):
+            assert np.exp(logs).sum() == pytest.approx(1.0)
 
 
-def test_topk(spark):
+def test_quality_cases(spark, docs, labels, mixed_quality, tmp_path):
+    assert op2_quality.resampled(docs, labels.limit(0)).count() == len(TEXTS)
+    assert op2_quality.resampled(docs.limit(0), labels).count() == 0
+    _, _, some, frame = mixed_quality
+    frame.write.parquet(str(tmp_path / "labels.parquet"))
+    named = some.selectExpr("doc_id", "text", "'x' as gumbel", "1 as _gumbel", "2 as label", "3 as grams")
+    out = op2_quality.stage(spark, named, str(tmp_path))
+    assert out.columns == named.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in op2_quality.resampled(some, frame).collect())
+    twice = op2_quality.resampled(some.union(some), frame).groupBy("doc_id").count().collect()
+    assert {r["count"] for r in twice} == {2}
+    assert op2_quality.stage(spark, named.limit(0), str(tmp_path)).count() == 0
+
+
+def bundle(text):
+    """A text's bundle, one trigram after the other; what is no letter is a gap, and several gaps are one."""
+    z = [0]
+    for c in (text or "").lower():
+        k = ord(c) if c.isalpha() else 0
+        if k or z[-1]:
+            z.append(k)
+    z = z + [0] if z[-1] else z
+    out = np.zeros(op3_language.DIM, int)
+    for tri in zip(z, z[1:], z[2:]):  # noqa: B905
+        if any(tri):
+            v = [op3_language.letter_vector(c).astype(int) for c in tri]
+            out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+    return out
+
+
+def test_language_vectors(monkeypatch):
+    texts = ["ab", None, "..", "Ärger über große Straßen", "数字 und 文字", "a1b  c", ""]
+    got = op3_language.document_vectors(texts)
+    for t, v in zip(texts, got, strict=True):
+        assert (v == bundle(t)).all()
+    long = op3_language.document_vectors(["abba " * 200_000])[0]  # cut into pieces between words
+    assert (long == bundle("abba " * 20) + (200_000 - 20) * (bundle("abba " * 21) - bundle("abba " * 20))).all()
+    monkeypatch.setattr(op3_language, "CHUNK_CHARS", 16)
+    for t in ["the cat, the dog -- and the bird sat on a mat", "x" * 50, "1234567890" * 9, "ab" + "-" * 40 + "cd" + " " * 30, "aİb İc" * 9]:
+        assert (op3_language.document_vectors([t])[0] == bundle(t)).all()
+    # letters that differ have vectors of their own
+    assert not (op3_language.letter_vector(0x4E00) == op3_language.letter_vector(0x4E00 + 4093)).all()
+
+
+def test_language_against_brute_force(spark, docs):
+    rows = [r.asDict() for r in docs.collect() if r.text != LONG]
+    frame = spark.createDataFrame(rows, docs.schema)
+    total = {}
+    for r in rows:
+        if r["lang"] is not None and r["doc_id"] % 4:
+            total[r["lang"]] = total.get(r["lang"], 0) + bundle(r["text"])
+    langs = sorted(total)
+    got = {r.doc_id: r for r in op3_language.identified(frame, F.col("doc_id") % 4 == 0).collect()}
+    for r in rows:
+        v = bundle(r["text"])
+        if not v.any():
+            assert (got[r["doc_id"]].lang_pred, got[r["doc_id"]].score) == ("und", 0.0)
+            continue
+        cos = [float(v @ total[x] / np.linalg.norm(v) / np.linalg.norm(total[x])) for x in langs]
+        assert got[r["doc_id"]].lang_pred == langs[int(np.argmax(cos))] and got[r["doc_id"]].score == pytest.approx((1 + max(cos)) / 2, abs=1e-6)
+        assert got[r["doc_id"]].held_out == (r["doc_id"] % 4 == 0)
+    assert {r.lang_pred for r in op3_language.identified(frame.withColumn("lang", F.lit(None).cast("string")), F.lit(False)).collect()} == {"und"}
+    assert op3_language.identified(frame.limit(0), F.lit(False)).count() == 0
+    # equal cosines go to the smaller language
+    tied = spark.createDataFrame([(1, "same words", "fr"), (2, "same words", "de"), (3, "same words", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in op3_language.identified(tied, F.lit(False)).collect()} == {"de"}
+
+
+def topk_by_hand(vecs):
+    """Every query's list, by its id and vector."""
+    q = [(i, tuple(int(np.floor(64 * float(np.float32(x)))) for x in v)) for i, v in vecs if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    q = [(i, v) for i, v in q if sum((abs(x) + 1) ** 2 for x in v) < 2**62]
+    out = []
+    for i, a in {(i, v) for i, v in q if i % 20 == 0}:
+        scored = sorted(((sum(x * y for x, y in zip(a, v)), k) for k, v in q if k != i), key=lambda x: (-x[0], x[1]))[:20]  # noqa: B905
+        out += [(i, r, k, score) for r, (score, k) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("part,block", [(100_000, 256), (16, 4)])
+def test_topk(spark, monkeypatch, part, block):
     rng = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
-    vecs += [(200 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(40)] + [(300, None), (301, [float("nan")] * 4), (302, [1.0, None, 0.0, 0.0]), (40, [9.0, 9.0, 9.0, 9.0])]
-    got = defaultdict(list)
+    vecs += [(200 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(60)] + [(300, None), (301, [float("nan")] * 4), (302, [1.0, None, 0.0, 0.0]), (40, [9.0, 9.0, 9.0, 9.0])]
+    vecs += [(60, vecs[60][1]), (7, vecs[7][1]), (None, [1.0] * 4), (320, [1.0]), (340, [float("inf"), 0.0, 0.0, 0.0]), (360, [1e30, 0.0, 0.0, 0.0]), (380, [])]
+    for name, v in (("PART_ROWS", part), ("BLOCK", block), ("SAMPLE", 32), ("PIVOTS", 5)):
+        monkeypatch.setattr(op4_topk, name, v)
+    df = spark.createDataFrame([(i, v, "x", 3, 0.1) for i, v in vecs], "vec_id long, embedding array<float>, part string, query int, dist double").repartition(3)
+    got = sorted(map(tuple, op4_topk.top_k(df, F.col("vec_id") % 20 == 0).collect()))
+    assert got == topk_by_hand(vecs)
+    assert op4_topk.top_k(df.limit(0), F.lit(True)).count() == 0 and op4_topk.top_k(df, F.lit(False)).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    """Scores beyond 2**53 stay exact."""
+    rng = np.random.default_rng(2)
+    vecs = [(i, [float(np.float32(x)) for x in rng.normal(size=3) * 1e6]) for i in range(90)]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
-    for r in op4_topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.score, r.vec_id))
-    q = [(i, np.floor(64 * np.array(v, np.float32).astype(float))) for i, v in vecs if v and all(x is not None and np.isfinite(x) for x in v)]
-    for i in (0, 20, 60, 200):
-        a = next(v for k, v in q if k == i)
-        want = sorted(((int(a @ v), k) for k, v in q if k != i), key=lambda x: (-x[0], x[1]))[:20]
-        assert got[i] == want
-    assert op4_topk.top_k(df.limit(0), F.lit(True)).count() == 0
+    assert sorted(map(tuple, op4_topk.top_k(df, F.col("vec_id") % 20 == 0).collect())) == topk_by_hand(vecs)
 
 
 def test_packing(spark, docs):
@@ -142,6 +273,38 @@ def test_plan_keeps_every_constraint(documents, attention):
         assert at <= 20 and len(pieces) <= (documents or 20) and sum(n * n for _, n in pieces) <= (attention or 400)
 
 
+def test_packing_of_repeated_rows_and_stage(spark):
+    rows = [(1, "a few words here", "x", 0)] * 3 + [(None, "other words", "y", 1), (2, None, "z", 2)] + [(k, "hi", "t", 3) for k in range(10, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rank string, length int").repartition(4)
+    out = op5_packing.packed(docs).collect()
+    assert len(out) == len(rows) and len({(r.sequence_id, r.offset) for r in out}) == len(rows) and len({r.sequence_id for r in out}) == 1
+    assert len({r.ids_crc32 for r in out if r.doc_id == 1}) == 1
+    staged = defaultdict(list)
+    for r in op5_packing.stage(spark, docs, "").collect():
+        staged[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, staged.values())) == len(rows) and max(map(len, staged.values())) == op5_packing.STAGE_DOCUMENTS and len(staged) == -(-len(rows) // op5_packing.STAGE_DOCUMENTS)
+    for pieces in staged.values():
+        assert all(a[0] + a[1] == b[0] for a, b in zip(sorted(pieces), sorted(pieces)[1:]))  # noqa: B905
+
+
+@pytest.mark.parametrize("part_docs", [2000, 3])
+def test_fingerprints_of_repeated_and_null_ids(spark, monkeypatch, part_docs):
+    """Many parts, and rows that share an id, against the order by falling doc_id and text."""
+    monkeypatch.setattr(op6_fingerprints, "PART_DOCS", part_docs)
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(20)) if rng.random() < 0.9 else None, " ".join(f"w{x}" for x in rng.integers(0, 9, int(rng.integers(0, 12)))) or None) for _ in range(60)]
+    got = op6_fingerprints.compared(spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id long, text string, k int, part string").repartition(7)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    want = []
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+        a, b = a or "", b or ""
+        changed = op6_fingerprints.edited(a, b)
+        x, y, z = shingles(a), shingles(b), shingles(changed)
+        near = [len(x & o) / len(x | o) if x | o else 1.0 for o in (z, y)]
+        want.append((i, len(a), hashlib.sha256(changed.encode()).hexdigest(), *[round(v, 9) for v in near]))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_fingerprints(spark, docs):
     rows = {r.doc_id: r for r in op6_fingerprints.compared(docs).collect()}
     assert len(rows) == len(TEXTS)
@@ -161,9 +324,98 @@ def test_fingerprints(spark, docs):
 
 def test_licenses(spark):
     text = "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. x"
-    df = spark.createDataFrame([(1, text), (2, "Released under the MIT License."), (3, None), (4, "")], "doc_id long, text string")
-    assert {r.doc_id: (r.licenses, r.unmatched) for r in op7_licenses.scanned(df).collect()} == {1: ("Apache-2.0", 0), 2: ("MIT", 0), 3: ("", 0), 4: ("", 0)}
-    assert all(any(m in s for m in op7_licenses.MARKS) for s in op7_licenses.SENTENCES) and all(i in op7_licenses.SENTENCES.values() for _, ids in op7_licenses.RULES for i in ids)
+    rows = [(1, text), (2, "Released under the MIT License."), (3, None), (4, ""), (2, "Released under the MIT License."), (None, "SPDX-License-Identifier: GPL-2.0-only\n"), (5, ("plain words. " * 50_000) + text)]
+    df = spark.createDataFrame([(i, t, "x", 1, "l") for i, t in rows], "doc_id long, text string, rest string, ids int, licenses string")
+    got = [(r.doc_id, r.licenses, r.unmatched) for r in op7_licenses.scanned(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, "Apache-2.0", 0), (2, "MIT", 0), (3, "", 0), (4, "", 0), (2, "MIT", 0), (None, "GPL-2.0-only", 0), (5, "Apache-2.0", 0)], key=str)
+    assert op7_licenses.scanned(df.limit(0)).count() == 0
+    assert all(any(m in s for m in op7_licenses.MARKS) for s in op7_licenses.KNOWN) and all(i in op7_licenses.KNOWN.values() for _, ids in op7_licenses.ALL_RULES for i in ids)
+    assert [r for r in op7_licenses.ALL_RULES if r in op7_licenses.RULES] == op7_licenses.RULES
+
+
+def test_whole_licenses(spark):
+    """Published texts, wrapped, in comments, in one line."""
+    mit = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+    bsd = """Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+    third = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+    unlicense = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+    boost = """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)
+"""
+    epl = """This program and the accompanying materials are made available under
+the terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+    known = [(mit, "MIT"), (bsd.format(""), "BSD-2-Clause"), (bsd.format(third), "BSD-3-Clause"), (isc, "ISC"), (unlicense, "Unlicense"), (boost, "BSL-1.0"), (epl, "EPL-2.0"), ("// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0")]
+    forms = [lambda t: t, lambda t: "".join(f" * {x}\n" for x in t.splitlines()), lambda t: "".join(f"# {x}\r\n" for x in t.splitlines()), lambda t: " ".join(t.split())]
+    rows = [(f(t), name) for t, name in known for f in (forms if "SPDX" not in t else forms[:3])]
+    got = op7_licenses.scanned(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licenses, r.unmatched) for r in got} == {k: (name, 0) for k, (_, name) in enumerate(rows)}
 
 
 def test_licenses_of_wrapped_notices(spark):
@@ -238,10 +490,13 @@ def test_warc(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if f == i else ("revisit", f)) and (r.record_type == "revisit" or bytes(r.payload) == raw)
     assert op8_warc.archived(df.limit(0)).count() == 0
+    again = [(None, "a", "null id"), (3, "b", "same"), (3, "c", "same"), (5, "d", "same"), (None, "e", "null id")]
+    got = op8_warc.archived(spark.createDataFrame([(i, u, h, "x") for i, u, h in again], "page_id long, url string, html string, sha string")).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == sorted([(None, "response", None)] * 2 + [(3, "response", None)] * 2 + [(5, "revisit", 3)], key=str)
     w = op8_warc.ArchiveWriter(b"")
     good = w.lead + w.frame(op8_warc.record("response", "urn:page:1", "u", b"hi", op8_warc.digest(b"hi"), 2))
     assert [h["warc-type"] for h, _ in op8_warc.read_archive(good)] == ["response"]
-    for bad in (good[:-3], w.lead + w.frame(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nx\r\n\r\n"), w.lead + w.frame(b"no")):
+    for bad in (good[:-3], good + b"a", good + b"abc", good + b"\x50\x2a\x4d\x18\xff\x00\x00\x00", w.lead + w.frame(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nx\r\n\r\n"), w.lead + w.frame(b"no")):
         with pytest.raises(op8_warc.WarcError):
             list(op8_warc.read_archive(bad))
 
@@ -292,33 +547,178 @@ def test_jaccard_with_repeated_rows(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_jaccard_large_groups_close_to_the_threshold(spark, monkeypatch):
-    """A group of near copies spread over many partitions, of which the first round puts pairs off."""
-    rng = np.random.default_rng(5)
+def near_copies(n, seed=5):
+    """Copies of one text with one or two changes: groups of many, with pairs on both sides of the threshold."""
+    rng = np.random.default_rng(seed)
     base, texts = [f"w{k}" for k in range(100)], []
-    for k in range(160):
+    for k in range(n):
         w = list(base)
         at = rng.integers(0, 30) * 3
         for e in range(1 + (k % 8 > 0)):
             w[at + 6 * e] = f"n{rng.integers(6)}"
         texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("block,split,partners", [(512, 1024, 64), (512, 1024, 1), (8, 24, 64), (8, 24, 1)])
+def test_jaccard_large_groups(spark, monkeypatch, block, split, partners):
+    """Groups over many partitions; small limits make it put pairs off and cut groups into blocks."""
+    texts = near_copies(160)
     limits, plain = [], op9_jaccard._tree_pairs
     monkeypatch.setattr(op9_jaccard, "_tree_pairs", lambda limit: limits.append(limit) or plain(limit))
+    for name, v in (("BLOCK", block), ("SPLIT", split), ("PARTNERS", partners)):
+        monkeypatch.setattr(op9_jaccard, name, v)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard.linked(df).collect()} == expected_components(texts)
-    assert max(limits) > 4
+    assert limits[0] == partners and (len(limits) > 1) == (partners == 1 and block == 8)
+
+
+def test_jaccard_nodes_keep_every_pair():
+    """The traversal of blocks' nodes and members leaves open every pair that links."""
+    texts = near_copies(90, 7)
+    sets = list(common.shingle_sets(__import__("pyarrow").array(texts)))
+    sizes = np.array([len(x) for x in sets])
+    sigs = [op9_jaccard.signature(x) for x in sets]
+    found = {(min(a, b), max(a, b)) for i, j in op9_jaccard._by_class(sizes, sigs, np.arange(len(sets))) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if op9_jaccard.enough(common.shared(sets[a], sets[b]), sizes[a], sizes[b])}
+    assert links and links <= found
+    import pyarrow as pa
 
+    rows = [(k // 10, 0, int(n), s.tobytes(), k) for k, (n, s) in enumerate(zip(sizes, sigs, strict=True))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["work", "token", "n", "sig", "comp"])
+    nodes = pa.Table.from_batches(list(op9_jaccard._block_nodes([batch]))).combine_chunks().to_batches()
+    open_ = {(x, y) for b in op9_jaccard._block_pairs(nodes) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)}
+    open_ |= {(y, x) for x, y in open_} | {(k, k) for k in range(9)}
+    assert all((a // 10, b // 10) in open_ for a, b in links)
 
-def test_subsequence_kernel():
+
+def test_jaccard_group_stream():
+    """Prefix rows in any batches give the groups of two and more; large groups pass through."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(rng.integers(40)), int(rng.integers(30))) for _ in range(200)} | {(99, d) for d in range(80)})
+    want = {(t, d) for t, d in rows if sum(t == x for x, _ in rows) > 1}
+    twice = sorted(rows + rows[::3])
+    for size in (1, 7, 64, 1000):
+        for held in (10, 500):
+            old, op9_jaccard.HELD_ROWS = op9_jaccard.HELD_ROWS, held
+            try:
+                parts = [twice[k : k + size] for k in range(0, len(twice), size)]
+                batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in p], pa.int64()), pa.array([r[1] for r in p], pa.int64()), pa.array([5] * len(p), pa.int64())], ["token", "doc", "n"]) for p in parts]
+                got = [tuple(r.values()) for b in op9_jaccard._grouped(batches) for r in b.to_pylist()]
+            finally:
+                op9_jaccard.HELD_ROWS = old
+            assert {(g[0], g[1]) for g in got} == want and len(got) == len(want)
+            assert {g[3] for g in got if g[0] == 99} == {min(80, held + 1)}
+    same = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([3, 3, 7, 7, 4, 4], [1, 2, 1, 2, 1, 3], [5] * 6, [2] * 6, [8, 8, 8, 8, 9, 9])], op9_jaccard.GROUPS)
+    for cut in range(7):
+        got = [r["token"] for b in op9_jaccard._once_each([same.slice(0, cut), same.slice(cut)]) for r in b.to_pylist()]
+        assert got == [3, 3, 4, 4]
+
+
+def test_jaccard_with_repeated_ids(spark):
+    """Rows that share a doc_id are one document, with the links of all its texts."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (4, b), (5, a), (5, b), (6, c), (7, None), (5, ""), (None, a), (8, b + " z")]
+    got = op9_jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(3, 36, 3), (4, 36, 3), (5, 36, 3), (5, 36, 3), (6, 36, 6), (7, 0, 7), (5, 0, 3), (None, 36, None), (8, 37, 3)], key=str)
+    rng = np.random.default_rng(8)
+    texts = near_copies(30, 9) + [" ".join(f"x{x}" for x in rng.integers(0, 9, 12)) for _ in range(10)]
+    rows = [(int(rng.integers(25)), texts[int(rng.integers(len(texts)))]) for _ in range(60)]
+    sets, root = [shingles(t) for _, t in rows], {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for p in range(len(rows)):
+        for q in range(p):
+            if 100 * len(sets[p] & sets[q]) >= 75 * len(sets[p] | sets[q]):
+                x, y = find(rows[p][0]), find(rows[q][0])
+                root[max(x, y)] = min(x, y)
+    got = op9_jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), find(i)) for (i, _), s in zip(rows, sets, strict=True))
+
+
+def test_jaccard_stage(spark):
+    texts = near_copies(12, 4)
+    rows = [(i, t, "x", i, 1) for i, t in enumerate(texts)] + [(50, None, "y", 0, 1), (None, "one two", "z", 0, 1), (None, "one two", "z", 0, 1), (60, "b b", "k", 0, 1), (60, "a a", "k", 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, place long, component_id int")
+    out = op9_jaccard.stage(spark, docs, "")
+    want = expected_components(texts)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in out.filter("doc_id is not null").collect() if r.doc_id != 50) == sorted([(i, texts[i]) for i, (_, c) in want.items() if i == c] + [(60, "a a")])
+    assert out.filter("doc_id is null").count() == 2 and out.filter("doc_id = 50").count() == 1
+    unique = spark.createDataFrame(rows[:12], docs.schema)
+    assert sorted(r.doc_id for r in op9_jaccard.stage(spark, unique, "").collect()) == [i for i, (_, c) in want.items() if i == c]
+
+
+def slow_kernel(s, t, p=op10_toxicity.ORDER, lam=op10_toxicity.DECAY):
     from itertools import combinations
 
-    def slow(s, t, p=3, lam=0.7):
-        f = lambda x: [(tuple(x[i] for i in c), lam ** (c[-1] - c[0] + 1)) for c in combinations(range(len(x)), p)]
-        return sum(a * b for u, a in f(s) for v, b in f(t) if u == v)
+    f = lambda x: [(tuple(x[i] for i in c), lam ** (c[-1] - c[0] + 1)) for c in combinations(range(len(x)), p)]
+    return sum(a * b for u, a in f(s) for v, b in f(t) if u == v)
 
+
+def test_subsequence_kernel():
     pairs = [("idiot", "idxiot"), ("abcabc", "aabbcc"), ("ab", "abc"), ("moron", "clown")]
     x, y = (op10_toxicity._coded([p[k] for p in pairs]) for k in (0, 1))
-    assert op10_toxicity.subsequence_kernel(x, y) == pytest.approx([slow(*p) for p in pairs], rel=1e-4)
+    assert op10_toxicity.subsequence_kernel(x, y) == pytest.approx([slow_kernel(*p) for p in pairs], rel=1e-4)
+
+
+def test_likeness_against_brute_force():
+    marks = op10_toxicity.Landmarks(["idiot", "banana", "größe", "ab", "idiot", "disgusting"])
+    words = ["idiot", "idxiot", "iidiioott", "bananas", "nabana", "groß", "größer", "ab", "", "x", "zzzzz", "disgustng", "banananananana", "数字数字", "idioti" * 3]
+    got = marks.similar(words)
+    for w, row in zip(words, got, strict=True):
+        for m, v in zip(marks.words, row.tolist(), strict=True):
+            both = slow_kernel(w[:20], w[:20]) * slow_kernel(m, m)
+            k = slow_kernel(w[:20], m) / both**0.5 if both else 0.0
+            assert v == pytest.approx(min(1, max(0, (k - op10_toxicity.CHANCE) / (op10_toxicity.WHOLE - op10_toxicity.CHANCE))), abs=1e-3)
+    assert marks.similar([]).shape == (0, 6) and op10_toxicity.Landmarks([]).similar(["a"]).shape == (1, 0)
+
+
+#: Insults of the labelled data, each with one letter inserted.
+ALTERED = """traash trxash tkrash trasjh trasqh pathzetic paathetic pathetwic pathetikc pbathetic idxiot idioot ildiot idijot idiomt
+disgusxting dizsgusting disgustqing disguksting dishgusting worthlkess worthxless wzorthless wortjhless worthlesus stupxid stukpid sztupid stupmid stuzpid
+clowwn clojwn cplown clozwn cluown losxer lokser lpser loiser lozser scuxm sczum scuum sckum spcum morkon mojron mworon moroxn mozron""".split()
+CARRIERS = ["Thtion ereded the {} onnted of erly.", "In atha heess {} the onan ndly.", "Thoner of this {} anded in whre."]
+
+
+def test_toxicity_tolerates_inserted_letters(spark):
+    import pyarrow as pa
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = op10_toxicity.train(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"), labels)
+    caught = model.scores(pa.array([c.format(w) for w in ALTERED for c in CARRIERS])) >= 0.5
+    assert caught.mean() >= 0.9
+    assert not (model.scores(pa.array([c.format(w) for w in ("the", "ontion", "theatsh", "clean", "watered") for c in CARRIERS])) >= 0.5).any()
+
+
+def test_toxicity_held_out_and_ties(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.unionByName(docs.filter("doc_id < 50"))
+    held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    rows = op10_toxicity.scored(twice, labels, held).collect()
+    assert len(rows) == twice.count()
+    seen = {}
+    for r in rows:
+        assert seen.setdefault(r.doc_id, (r.score, r.predicted)) == (r.score, r.predicted) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    mine = [(seen[i][1], truth[i]) for i in seen if i in truth and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([a == b for a, b in mine]) >= 0.93
+
+
+def test_toxicity_stage(spark, tmp_path):
+    clean = "The weather was mild and the garden looked green. We walked for hours along the river."
+    rows = [(i, f"{clean} You moron. You are an idiot, you moron." if i % 3 == 0 else f"{clean} Goodbye {i}.", 0.5, 1) for i in range(90)] + [(None, clean, 0.1, 0), (200, None, 0.2, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int")
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = op10_toxicity.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted((r.doc_id for r in out.collect()), key=str) == sorted([i for i in range(90) if i % 3] + [None, 200], key=str)
+    assert op10_toxicity.stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
 def test_toxicity(spark):
@@ -360,3 +760,43 @@ def test_toxicity_learns_from_whole_sentences(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     model = op10_toxicity.train(docs, labels)
     assert model.alpha @ model.landmarks.similar(["moron"])[0] > 0.1 > abs(model.alpha @ model.landmarks.similar(["weather"])[0])
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Every stage decides on all that its predecessor kept; the end is the brute-force result of the stages' decisions."""
+    import corpus_pipeline
+
+    for t in ("documents", "labels"):
+        frame = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        if t == "documents":
+            more = spark.createDataFrame([(9001, "You idiot. You moron. " * 5, "en", "s", 110), (9002, None, None, None, None), (9003, "", "en", "s", 0)], frame.schema)
+            frame = frame.unionByName(more)
+        frame.write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, kept = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        if name == "toxicity":
+            scored = op10_toxicity.scored(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")).collect()
+            want = sorted(r.doc_id for r in scored if not r.predicted)
+        elif name == "quality classifier":
+            want = sorted(r.doc_id for r in op2_quality.resampled(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect())
+        elif name == "n-gram Jaccard join":
+            ids = sorted(kept)
+            found = expected_components([kept[i] for i in ids])
+            want = [ids[k] for k, (_, c) in found.items() if k == c]
+        elif name == "mixing sources to target weights":
+            want = sorted(r.doc_id for r in op1_mixing.mixed(docs).collect() for _ in range(r.copies if words(kept[r.doc_id]) else 0))
+        else:
+            used = defaultdict(list)
+            for r in rows:
+                used[r.sequence_id].append((r.offset, r.length))
+            assert sum(r.piece == 0 for r in rows) == docs.count()
+            for pieces in used.values():
+                assert sum(n for _, n in pieces) <= 2048 and len(pieces) <= op5_packing.STAGE_DOCUMENTS
+            continue
+        assert out.columns == columns and sorted(r.doc_id for r in rows) == want and all(r.text == kept[r.doc_id] for r in rows)
+        kept = {i: kept[i] for i in want}
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows)
