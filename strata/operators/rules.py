@@ -70,6 +70,11 @@ def failure_counts(rejected: DataFrame) -> DataFrame:
     return rejected.select(F.explode("failed_rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("rows"))
 
 
+def breaking_rows(rejected: DataFrame, rule: str) -> DataFrame:
+    """Rejected rows that break one rule, whatever else they break."""
+    return rejected.filter(F.array_contains("failed_rules", rule))
+
+
 def failure_samples(rejected: DataFrame, keys: Sequence[str], per_rule: int = 5) -> DataFrame:
     """rule, rows, sample: the first keys by value of each rule, in one job."""
     key = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("NULL"))) for k in keys])

@@ -15,7 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..models import marts  # noqa: F401  (registers the models)
+from ..models.registry import MODELS, build, order
 from ..operators import control, joins, rules, versions
+from ..pipeline import audit, bronze, checks, silver, tools
+from ..pipeline.state import StateStore
 from ..sources import tabular
 from ..sources.lake import LakeTable
 
@@ -54,29 +58,7 @@ SHARED = {
     "stg_products_unknown_category": "select p_partkey as product_id, coalesce(nullif(p_brand, 'Brand#11'), 'unknown') as category, p_size as size from {part}",
     "items_enriched": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, o_custkey, o_orderstatus, case when l_shipdate > o_orderdate + interval '30' day then 1 else 0 end as is_late from {lineitem} join {orders} on l_orderkey = o_orderkey",
     "payments_enriched": "select o_orderkey as order_id, o_orderpriority as payment_type, o_totalprice as payment_value, o_orderstatus as order_status, c_mktsegment as segment from {orders} join {customer} on o_custkey = c_custkey",
-    "dim_product": "select md5(cast(p_partkey as varchar(20))) as product_key, p_partkey as product_id, coalesce(p_brand, 'unknown') as category, p_size as size from {part}",
     "dim_seller": "select md5(cast(s_suppkey as varchar(20))) as seller_key, s_suppkey as seller_id, s_name as seller_name, n_name as nation from {supplier} join {nation} on s_nationkey = n_nationkey",
-    "agg_daily_sales": f"select cast(o_orderdate as date) as date_day, count(distinct o_orderkey) as orders, count(*) as items_sold, {_r('sum(l_extendedprice)')} as revenue, {_r('sum(l_extendedprice * l_tax)')} as freight, cast(sum(case when l_shipdate > o_orderdate + interval '30' day then 1 else 0 end) as bigint) as late_deliveries from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey where o_orderstatus <> 'P' group by 1",
-    "agg_category_revenue": f"select p_brand as category, count(distinct l_orderkey) as orders, {_r('sum(l_extendedprice)')} as revenue, {_r('avg(l_quantity)')} as avg_quantity from {{lineitem}} join {{part}} on l_partkey = p_partkey join {{orders}} on l_orderkey = o_orderkey where o_orderstatus <> 'P' group by 1",
-    "agg_monthly_kpis": f"""with o as (select o.o_orderkey, o.o_custkey, min(o.o_orderdate) purchased_at, count(*) items,
-  sum(l.l_extendedprice) revenue, sum(l.l_extendedprice * l.l_tax) freight, max(case when l.l_shipdate > o.o_orderdate + interval '30' day then 1 else 0 end) is_late
-  from {{lineitem}} l join {{orders}} o on l.l_orderkey = o.o_orderkey where o.o_orderstatus <> 'P' group by 1, 2),
-fp as (select o_custkey, cast(date_trunc('month', min(purchased_at)) as date) first_month from o group by 1)
-select cast(date_trunc('month', purchased_at) as date) as month, count(*) orders, count(distinct o.o_custkey) customers,
-  count(distinct o.o_custkey) filter (where first_month = cast(date_trunc('month', purchased_at) as date)) new_customers,
-  count(distinct o.o_custkey) filter (where first_month < cast(date_trunc('month', purchased_at) as date)) returning_customers,
-  cast(sum(items) as bigint) items_sold, {_r('sum(revenue)')} revenue, {_r('sum(freight)')} freight,
-  {_r('sum(revenue) / count(*)')} avg_order_value, {_r('100.0 * avg(is_late)', 1)} late_delivery_pct
-from o join fp on fp.o_custkey = o.o_custkey group by 1""",
-    "agg_customer_retention": f"""with a as (select distinct o_custkey, {MONTH.format('o_orderdate')} as month from {{orders}} where o_orderstatus <> 'P'),
-c as (select o_custkey, min(month) as cohort_month from a group by 1), n as (select cohort_month, count(*) as cohort_size from c group by 1),
-x as (select c.cohort_month, cast((year(month) - year(cohort_month)) * 12 + month(month) - month(cohort_month) as int) as months_since_first, count(*) as active_customers
-  from a join c on a.o_custkey = c.o_custkey group by 1, 2)
-select x.cohort_month, months_since_first, cohort_size, active_customers, {_r('cast(100.0 * active_customers as double) / cohort_size', 1)} as retention_pct from x join n on x.cohort_month = n.cohort_month""",
-    "agg_product_sales": f"""with s as (select p_partkey as product_id, p_brand as category, count(distinct l_orderkey) as orders, count(*) as units_sold, sum(cast(l_extendedprice as decimal(18,2))) as rev,
-  min(cast(o_orderdate as date)) as first_sale, max(cast(o_orderdate as date)) as last_sale from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey join {{part}} on l_partkey = p_partkey where o_orderstatus <> 'P' group by 1, 2)
-select product_id, category, orders, units_sold, cast(rev as double) as revenue, {_r('cast(rev as double) / units_sold')} as avg_price, first_sale, last_sale,
-  cast(rank() over (order by rev desc) as bigint) as revenue_rank, {_r('100.0 * cast(rev as double) / cast(sum(rev) over () as double)', 4)} as revenue_share_pct from s""",
     "dq_unique": "select o_orderkey, count(*) as n from {orders} group by 1 having count(*) > 1",
     "dq_not_null": "select o_orderkey from {orders} where nullif(o_custkey % 7, 0) is null",
     "dq_accepted": "select o_orderkey, o_orderstatus from {orders} where o_orderstatus is not null and o_orderstatus not in ('F', 'O')",
@@ -199,12 +181,7 @@ def _snapshots(spark, d, moments):
 
 
 def q_scd2_snapshot(spark, d):
-    """Two snapshots of the users' state, applied one after the other."""
-    return _snapshots(spark, d, (EARLY, LATE))
-
-
-def q_scd2_snapshot_all(spark, d):
-    """The same and a last snapshot of all events."""
+    """Three snapshots of the users' state, the last one of all events, applied one after the other."""
     return _snapshots(spark, d, (EARLY, LATE, "true"))
 
 
@@ -224,20 +201,13 @@ def q_fact_delete_insert(spark, d):
     return versions.replaced(li.withColumn("l_extendedprice", F.lit(0.0)), li.filter("l_orderkey % 10 = 0"), "l_orderkey")
 
 
-def q_fact_orders(spark, d):
-    li, o = load(spark, d, "lineitem"), load(spark, d, "orders")
-    key = S.surrogate(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"))
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select(key.alias("order_item_key"), "l_orderkey", F.md5(F.col("l_partkey").cast("string")).alias("product_key"), S.date_key(F.col("o_orderdate")).alias("date_key"), F.datediff("l_shipdate", "o_orderdate").alias("delivery_days"))
-
-
 def q_rolling(spark, d):
     day = load(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date_day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("revenue"))
     from pyspark.sql import Window
 
     # one row per day: the window's single task holds as many rows as there are days
     w = Window.orderBy("date_day").rowsBetween(-6, 0)
-    return day.select("date_day", F.col("revenue").cast("double").alias("revenue"), S.money((F.sum("revenue").over(w) / F.count("*").over(w)).cast("double"), 1).alias("rolling_7"))
+    return day.select("date_day", F.col("revenue").cast("double").alias("revenue"), S.money((F.sum("revenue").over(w) / F.count("*").over(w)).cast("double"), 2).alias("rolling_7"))
 
 
 def q_pivot(spark, d):
@@ -251,7 +221,7 @@ def q_unpivot(spark, d):
 
 
 def q_retention_avg(spark, d):
-    r = run_sql(SHARED["agg_customer_retention"])(spark, d)
+    r = _model("agg_customer_retention")(spark, d)
     return r.filter("months_since_first between 1 and 12").groupBy("months_since_first").agg(S.share(F.sum("active_customers"), F.sum("cohort_size")).alias("retention_pct"))
 
 
@@ -271,6 +241,15 @@ def _joined(how):
     return run
 
 
+def _split_join(a, b):
+    """A merge join whose large partitions adaptive execution splits; the settings hold while the rows are counted."""
+    spark = a.sparkSession
+    with tools.conf(spark, spark__sql__adaptive__enabled="true", spark__sql__adaptive__skewJoin__enabled="true", spark__sql__autoBroadcastJoinThreshold="-1"):
+        counted = joins.merge_join(a, b, "k").groupBy("k", "s_name").agg(F.count("*").alias("n")).collect()  # a row for each supplier
+    rows = spark.createDataFrame(counted, "k long, s_name string, n long")
+    return rows.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n", "times")
+
+
 def q_run_stats(spark, d):
     e = load(spark, d, "events")
     dur = F.col("value")
@@ -282,12 +261,7 @@ def _flow_runs(e):
     return e.groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("tasks"), F.count_if(bad).alias("failed"), F.min_by(F.when(bad, F.col("event_id")), F.when(bad, F.col("event_id"))).alias("first_failed"), F.expr("listagg(event_type, ' > ') within group (order by event_id)").alias("path"))
 
 
-def q_flow_runs(spark, d):
-    """Runs in a twentieth of the log, as its SQL has them; ``v_flow_runs_all`` covers the whole log."""
-    return _flow_runs(load(spark, d, "events").filter("event_id % 20 = 0"))
-
-
-def q_flow_runs_all(spark, d):
+def q_flow_paths(spark, d):
     return _flow_runs(load(spark, d, "events"))
 
 
@@ -310,11 +284,7 @@ def _landed(spark, d, last=()):
 
 
 def q_bronze_insert_only(spark, d):
-    return _landed(spark, d)
-
-
-def q_bronze_insert_only_all(spark, d):
-    """The same batches and a last one of all events."""
+    """Overlapping batches, the last one of all events."""
     return _landed(spark, d, ["true"])
 
 
@@ -395,6 +365,156 @@ def q_normal_forms(spark, d):
     return o.select("o_orderkey", F.date_format(day, "yyyy-MM").alias("month"), F.left("o_orderpriority", F.lit(3)).alias("short"), F.concat_ws(", ", "o_orderstatus", "o_orderpriority").alias("both"), F.format_string("%05d", F.col("o_custkey").cast("int")).alias("padded"), F.expr("try_cast(o_orderpriority as int)").alias("number"))
 
 
+def _model(*names):
+    """A model over the tables; several give a dictionary."""
+
+    def run(spark, d):
+        sources = {n for m in order(names) for n in MODELS[m].needs if n not in MODELS}
+        frames = build({n: load(spark, d, n) for n in sources}, names)
+        return frames[names[0]] if len(names) == 1 else frames
+
+    return run
+
+
+# --- Bronze to Silver ---------------------------------------------------------
+
+def _event_spec():
+    return silver.SilverSpec("events", ("user_id",), "ts", (rules.one_of("event_type", ["click", "purchase", "signup", "view"]),), True)
+
+
+def _merged_events(spark, d):
+    """Three landings of events, each merged on; the tables and what every merge did."""
+    e = _events(spark, d)
+    landing, target, quarantine = (_lake(spark, n) for n in ("bronze", "silver", "quarantine"))
+    state, spec = StateStore(spark, f"{target.path}-state"), bronze.BronzeSpec("events", "incremental", ("event_id",))
+    done = []
+    for batch in (EARLY, MIDDLE, "true"):
+        bronze.write(spec, landing, e.filter(batch))
+        done.append(silver.process(_event_spec(), landing, target, quarantine, state))
+    done.append(silver.process(_event_spec(), landing, target, quarantine, state))
+    return target, quarantine, done
+
+
+def q_silver_incremental(spark, d):
+    return _merged_events(spark, d)[0].df()
+
+
+def q_quarantine_log(spark, d):
+    return _merged_events(spark, d)[1].df().select("user_id", "ts", "event_id", "reason")
+
+
+def q_silver_steps(spark, d):
+    rows = [(k, m.mode, m.read, m.rejected, m.inserted, m.updated) for k, m in enumerate(_merged_events(spark, d)[2])]
+    return spark.createDataFrame(rows, "step int, mode string, read long, rejected long, inserted long, updated long")
+
+
+def q_key_changes(spark, d):
+    e = _events(spark, d)
+    t = _lake(spark, "keys")
+    t.create(e.filter(EARLY))
+    t.insert_if_absent(e.filter(MIDDLE), ["event_id"])
+    t.delete("user_id % 10 = 3")
+    return tools.key_changes(t, "user_id", 0, 2).unionByName(tools.key_changes(t, "user_id", 0, 1))
+
+
+def q_write_counts(spark, d):
+    e = _events(spark, d)
+    t = _lake(spark, "counts")
+    t.create(versions.latest(e.filter(EARLY), ["user_id"], ["ts"]))
+    base = t.version()
+    t.upsert_newer(versions.latest(e.filter(MIDDLE), ["user_id"], ["ts"]), ["user_id"], "ts")
+    t.delete("user_id % 10 = 3")
+    rows = [("since", *t.write_counts(base).values()), ("none", *t.write_counts(t.version()).values())]
+    return spark.createDataFrame(rows, "part string, inserted long, updated long, deleted long")
+
+
+def q_small_files(spark, d):
+    """A table written in twenty appends, grouped as it is."""
+    e = _events(spark, d)
+    t = _lake(spark, "small")
+    t.create(e.filter("event_id % 20 = 0").coalesce(1))
+    for k in range(1, 20):
+        t.append(e.filter(f"event_id % 20 = {k}").coalesce(1))
+    return t.df().groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+def q_row_json(spark, d):
+    o = load(spark, d, "orders")
+    row = F.to_json(F.struct(*o.columns))
+    return o.select("o_orderkey", F.get_json_object(row, "$.o_orderstatus").alias("status"), F.length("o_orderpriority").alias("letters"), (F.length(F.get_json_object(row, "$.o_orderpriority")) == F.length("o_orderpriority")).alias("same"))
+
+
+def q_kept_frame(spark, d):
+    """One kept frame read by two aggregates."""
+    kept = load(spark, d, "lineitem").select("l_returnflag", "l_quantity").persist()
+    try:
+        flags = kept.groupBy(F.col("l_returnflag").alias("k")).agg(F.count("*").alias("n"))
+        sizes = kept.groupBy((F.floor(F.col("l_quantity") / 10)).cast("string").alias("k")).agg(F.count("*").alias("n"))
+        return spark.createDataFrame(flags.union(sizes).collect(), "k string, n long")  # a row for each flag and size
+    finally:
+        kept.unpersist()
+
+
+# --- the audit log: events stand for steps ---------------------------------------
+
+
+def _steps(spark, d):
+    e = load(spark, d, "events")
+    level = F.when(F.col("event_type") == "signup", "flow").when(F.col("event_type") == "purchase", "table").otherwise("task")
+    status = F.when(F.col("event_id") % 31 == 0, "ABANDONED").when(F.col("event_id") % 7 == 0, "FAILED").when(F.col("event_id") % 97 == 0, "RUNNING").otherwise("SUCCESS")
+    return e.select(
+        F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("step_id"), F.col("user_id").cast("string").alias("run_id"), level.alias("level"), F.col("event_type").alias("name"), status.alias("status"),
+        F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("started"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.when(status != "RUNNING", F.col("value")).alias("seconds"),
+        (F.col("event_id") % 3).cast("int").alias("retry"), (F.col("event_id") % 5).alias("inserted"), (F.col("event_id") % 2).alias("updated"), F.lit(0).cast("long").alias("rejected"), F.lit(None).cast("string").alias("error"))
+
+
+def q_flow_runs(spark, d):
+    # flows of one run share its tasks; each is told apart by its start
+    return audit.flow_runs(_steps(spark, d)).drop("at", "error").withColumn("started", F.col("started").cast("long"))
+
+
+def q_task_stats(spark, d):
+    return audit.task_stats(_steps(spark, d)).withColumn("last_start", F.col("last_start").cast("long"))
+
+
+def q_audit_run_stats(spark, d):
+    return audit.run_stats(_steps(spark, d).filter("level = 'flow'"))
+
+
+def q_rejections(spark, d):
+    s = _steps(spark, d)
+    return audit.rejections(s.select(F.col("seq").alias("at"), "run_id", F.col("level").alias("table_name"), F.col("name").alias("rule"), F.col("inserted").alias("rows"), F.col("step_id").alias("sample")))
+
+
+def q_rejected_samples(spark, d):
+    return rules.failure_samples(rules.apply_rules(_dirty_items(spark, d), item_rules())[1], ["l_orderkey", "l_linenumber"])
+
+
+def q_recorded_checks(spark, d):
+    o, li, c = (load(spark, d, t) for t in ("orders", "lineitem", "customer"))
+    total = lambda df, col: df.agg(F.sum(F.col(col).cast("decimal(18,2)")))
+    made = [
+        checks.breaking("unique_orders", checks.unique(o, "o_orderkey")), checks.breaking("unique_combination_items", checks.unique(li, "l_orderkey", "l_linenumber"), False),
+        checks.breaking("not_null_orders_custkey", checks.not_null(o, "o_custkey")), checks.breaking("accepted_values_status", checks.accepted_values(o, "o_orderstatus", ["F", "O"])),
+        checks.breaking("relationships_customer", checks.relationships(o, "o_custkey", c.filter("c_custkey % 10 <> 0"), "c_custkey"), False), checks.breaking("non_negative_balance", checks.non_negative(c, "c_acctbal")),
+        checks.difference("revenue_items_vs_flags", ("items", total(li, "l_extendedprice")), ("flags", total(li.filter("l_returnflag in ('A', 'N', 'R')"), "l_extendedprice")), True, checks.TOLERANCE)]
+    return checks.record(made).drop("detail")
+
+
+def q_pipeline_checks(spark, d):
+    e, m = _events(spark, d), _model("fact_orders", "agg_daily_sales", "sales", "fact_payments")(spark, d)
+    o, li = load(spark, d, "orders"), load(spark, d, "lineitem")
+    valid = e.filter("event_type <> 'error'")
+    one = lambda df, c: df.agg(c.alias("v"))
+    revenue, orders = one(m["sales"], F.sum("price")), one(m["sales"], F.count_distinct("order_id"))
+    metrics = {"revenue": (revenue, revenue, one(m["agg_daily_sales"], F.sum("revenue"))), "orders": (orders, orders, one(m["agg_daily_sales"], F.sum("orders"))),
+               "payments": (one(o, F.sum(F.col("o_totalprice").cast("decimal(18,2)"))), one(o, F.sum(F.col("o_totalprice").cast("decimal(18,2)"))), one(m["fact_payments"], F.sum(F.col("payment_value").cast("decimal(18,2)"))))}
+    flows = _steps(spark, d).filter("level = 'flow'").withColumnRenamed("name", "flow_name")
+    fresh = checks.freshness(flows, "signup", "-", F.unix_timestamp(F.lit("2024-02-02 00:00:00").cast("timestamp")))
+    made = checks.pipeline_checks(e, versions.latest(valid.filter("user_id % 7 <> 0"), ["user_id"], ["ts"]), e.filter("event_type = 'error'"), e, valid.select("user_id").distinct(), li, m["fact_orders"], metrics, fresh, "user_id", "ts")
+    return checks.record(made).select("check_name", "category", "status")
+
+
 E = "select user_id, ts, event_id, event_type from events"
 LATEST = "(select * exclude k from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from ({0})) where k = 1)"
 S_EARLY, S_MIDDLE = "ts < timestamp '2024-01-10 00:00:00'", "ts < timestamp '2024-01-20 00:00:00' and event_id % 3 <> 0"
@@ -402,7 +522,85 @@ _mid, _all3, _early = (LATEST.format(f"{E} where {w}") for w in (S_MIDDLE, "user
 NEWER = f"select coalesce(b.user_id, a.user_id) as user_id, case when b.ts > a.ts or a.ts is null then b.ts else a.ts end as ts, case when b.ts > a.ts or a.ts is null then b.event_id else a.event_id end as event_id, case when b.ts > a.ts or a.ts is null then b.event_type else a.event_type end as event_type from ({{0}}) a full join ({{1}}) b on a.user_id = b.user_id"
 JOIN_SQL = "select s_name, count(*) as n from lineitem join supplier on l_suppkey = s_suppkey group by 1"
 
+ITEMS = "(select o_orderkey, o_custkey, o_orderstatus as st, o_orderdate as bought, l_linenumber, l_partkey, l_suppkey, l_extendedprice::decimal(18,2) as p, (l_extendedprice * l_tax)::decimal(18,6) as f, (l_shipdate::date - o_orderdate::date)::int as days, (l_shipdate > o_orderdate + interval 30 day)::int as late from orders join lineitem on l_orderkey = o_orderkey)"
+ORDERS_SQL = f"select o_orderkey, o_custkey, date_trunc('month', any_value(bought))::date as m, any_value(bought)::date as day, count(*) as n, sum(p) as r, sum(f) as f, max(late) as late, sum(late) as late_items from {ITEMS} where st in ('F', 'O') group by o_orderkey, o_custkey"
+BORN_SQL = f"select *, min(m) over (partition by o_custkey) as born from ({ORDERS_SQL})"
+MONTHLY_SQL = f"""select m as month, count(*) as orders, count(distinct o_custkey) as customers, count(distinct case when born = m then o_custkey end) as new_customers, count(distinct case when born < m then o_custkey end) as returning_customers,
+  sum(n)::bigint as items_sold, {_r('sum(r)')} as revenue, {_r('sum(f)')} as freight, {_r('sum(r)::double / count(*)')} as avg_order_value, {_r('100.0 * sum(late)::double / count(*)', 1)} as late_delivery_pct from ({BORN_SQL}) group by m"""
+RETENTION_SQL = f"""with b as ({BORN_SQL}), pairs as (select distinct o_custkey, born, m from b), act as (select born as cohort_month, date_diff('month', born, m)::int as months_since_first, count(*) as active_customers from pairs group by 1, 2)
+select cohort_month, months_since_first, first_value(active_customers) over (partition by cohort_month order by months_since_first) as cohort_size, active_customers,
+  {_r('100.0 * active_customers::double / first_value(active_customers) over (partition by cohort_month order by months_since_first)', 1)} as retention_pct from act"""
+DAILY_SQL = f"select day as date_day, count(*) as orders, sum(n)::bigint as items_sold, {_r('sum(r)')} as revenue, {_r('sum(f)')} as freight, sum(late_items)::bigint as late_deliveries from ({ORDERS_SQL}) group by day"
+PRODUCT_SQL = f"""select l_partkey as product_id, coalesce(p_brand, 'unknown') as category, count(distinct o_orderkey) as orders, count(*) as units_sold, sum(p)::double as revenue, {_r('sum(p)::double / count(*)')} as avg_price, min(bought)::date as first_sale, max(bought)::date as last_sale,
+  rank() over (order by sum(p) desc) as revenue_rank, {_r('100.0 * sum(p)::double / sum(sum(p)) over ()::double', 3)} as revenue_share_pct from {ITEMS} join part on p_partkey = l_partkey where st <> 'P' group by 1, 2""".replace("over ()::double", "over ()").replace("sum(sum(p)) over ()", "(sum(sum(p)) over ())::double")
+CUSTOMER_SQL = """select md5(c_custkey::varchar || '|' || strftime(f, '%Y%m%d')) as customer_key, c_custkey as customer_id, case when f = timestamp '1998-01-01' then 'NEW ' else '' end || c_mktsegment as segment, f as valid_from, t as valid_to, t > timestamp '9000-01-01' as is_current
+from customer, lateral (select unnest(case when c_custkey % 3 = 0 then [timestamp '1900-01-01', timestamp '1998-01-01'] else [timestamp '1900-01-01'] end) as f, unnest(case when c_custkey % 3 = 0 then [timestamp '1998-01-01', timestamp '9999-12-31'] else [timestamp '9999-12-31'] end) as t)"""
+STEPS_SQL = """s as (select event_id as seq, user_id::varchar as run_id, case event_type when 'signup' then 'flow' when 'purchase' then 'table' else 'task' end as level, event_type as name, floor(epoch(ts))::bigint as started, value,
+  case when event_id % 31 = 0 then 'ABANDONED' when event_id % 7 = 0 then 'FAILED' when event_id % 97 = 0 then 'RUNNING' else 'SUCCESS' end as status from events)"""
+BATCHES_SQL = f"x as (select *, case when {S_EARLY} then 0 when {S_MIDDLE} then 1 else 2 end as step from events)"
+
 PAIRED = {
+    "agg_daily_sales": (_model("agg_daily_sales"), DAILY_SQL),
+    "agg_category_revenue": (_model("agg_category_revenue"), f"select coalesce(p_brand, 'unknown') as category, count(distinct o_orderkey) as orders, {_r('sum(p)')} as revenue, {_r('sum(days)::double / count(days)', 1)} as avg_delivery_days from {ITEMS} join part on p_partkey = l_partkey where st <> 'P' group by 1"),
+    "agg_monthly_kpis": (_model("agg_monthly_kpis"), MONTHLY_SQL),
+    "agg_customer_retention": (_model("agg_customer_retention"), RETENTION_SQL),
+    "agg_product_sales": (_model("agg_product_sales"), PRODUCT_SQL),
+    "dim_customer": (_model("dim_customer"), CUSTOMER_SQL),
+    "dim_product": (_model("dim_product"), "select md5(p_partkey::varchar) as product_key, p_partkey as product_id, coalesce(p_brand, 'unknown') as category from part"),
+    "fact_orders": (_model("fact_orders"), f"""with c as ({CUSTOMER_SQL})
+select md5(concat_ws('-', o_orderkey, l_linenumber, l_partkey, l_suppkey, days)) as order_item_key, o_orderkey as order_id, l_linenumber as order_item_id, o_custkey as customer_id,
+  (select customer_key from c where customer_id = o_custkey and bought >= valid_from and bought < valid_to) as customer_key, md5(l_partkey::varchar) as product_key, md5(l_suppkey::varchar) as seller_key, strftime(bought, '%Y%m%d')::int as date_key,
+  st as order_status, bought as purchased_at, p as price, f as freight, days as delivery_days, late as is_late from {ITEMS}"""),
+    "fact_payments": (_model("fact_payments"), "select md5(o_orderkey::varchar || '-1') as payment_key, o_orderkey as order_id, 1 as payment_sequential, o_orderpriority as payment_type, o_totalprice as payment_value, strftime(o_orderdate, '%Y%m%d')::int as date_key from orders"),
+    "retention_matrix": (_model("retention_matrix"), f"select cohort_month, {', '.join(f'max(case when months_since_first = {k} then retention_pct end) as month_{k}' for k in range(13))} from ({RETENTION_SQL}) group by 1"),
+    "aggregates_disagree": (_model("aggregates_disagree"), f"select a.r as daily_revenue, a.o as daily_orders, b.r as monthly_revenue, b.o as monthly_orders, c.r as product_revenue, 0::bigint as cohorts_not_100 from (select sum(revenue) as r, sum(orders)::bigint as o from ({DAILY_SQL})) a, (select sum(revenue) as r, sum(orders)::bigint as o from ({MONTHLY_SQL})) b, (select sum(revenue) as r from ({PRODUCT_SQL})) c where abs(a.r - b.r) > 0.05 or abs(a.r - c.r) > 0.05 or a.o <> b.o"),
+    "business_headline": (_model("business_headline"), f"select sum(orders)::bigint as orders, (select count(distinct o_custkey) from ({ORDERS_SQL})) as customers, {_r('sum(revenue)', 1)} as revenue, {_r('sum(revenue) / sum(orders)', 1)} as avg_order_value from ({MONTHLY_SQL})"),
+    "dataset_kpi_monthly": (lambda spark, d: tools.MODELS["kpi_monthly"](_model("agg_monthly_kpis", "agg_daily_sales")(spark, d)), f"select * replace (strftime(month, '%Y-%m') as month) from ({MONTHLY_SQL})"),
+    "dataset_daily_sales": (lambda spark, d: tools.MODELS["daily_sales"](_model("agg_monthly_kpis", "agg_daily_sales")(spark, d)), f"select *, {_r('revenue / orders')} as avg_order_value from ({DAILY_SQL})"),
+    "dataset_product_sales_top": (lambda spark, d: tools.MODELS["product_sales_top"](_model("agg_product_sales", "dim_product")(spark, d)), f"select * from ({PRODUCT_SQL}) order by revenue_rank, product_id limit 20"),
+    "dataset_customer_versions": (lambda spark, d: tools.MODELS["customer_versions_examples"](_model("dim_customer", "customer_versions")(spark, d)), f"select * from ({CUSTOMER_SQL}) where customer_id in (select c_custkey from customer where c_custkey % 3 = 0 order by 1 limit 10)"),
+    "silver_incremental": (q_silver_incremental, f"select user_id, ts, event_id, event_type from {LATEST.format(E + chr(32) + 'where event_type <> ' + chr(39) + 'error' + chr(39))}"),
+    "quarantine_log": (q_quarantine_log, "select user_id, ts, event_id, 'accepted:event_type' as reason from events where event_type = 'error'"),
+    "silver_steps": (q_silver_steps, f"""with {BATCHES_SQL}, good as (select * from x where event_type <> 'error'),
+u as (select user_id, step, max(ts) as ts from good group by 1, 2), v as (select *, max(ts) over (partition by user_id order by step rows between unbounded preceding and 1 preceding) as before from u),
+k as (select step, count(*) as read, count(*) filter (where event_type = 'error') as rejected from x group by 1), w as (select step, count(*) filter (where before is null) as inserted, count(*) filter (where before < ts) as updated from v group by 1)
+select step::int as step, case step when 0 then 'full' else 'incremental' end as mode, read, rejected, inserted, updated from k join w using (step) union all select 3, 'skip', 0, 0, 0, 0"""),
+    "write_counts": (q_write_counts, f"""with a as {_early}, b as {_mid}, m as (select b.user_id, a.ts as old, b.ts as new from b left join a using (user_id)), t as (select user_id from a union select user_id from b)
+select 'since' as part, (select count(*) from m where old is null) as inserted, (select count(*) from m where new > old) as updated, (select count(*) from t where user_id % 10 = 3) as deleted union all select 'none', 0, 0, 0"""),
+    "small_files_group_by": (q_small_files, "select event_type, count(*) as n, count(distinct user_id) as users from events group by 1"),
+    "rows_breaking_rule": (lambda spark, d: rules.breaking_rows(rules.apply_rules(_dirty_items(spark, d), item_rules())[1], "quantity_small").drop("failed_rules", "reason"), f"with {DIRTY} select * exclude f from m where list_contains(f, 'quantity_small')"),
+    "order_totals": (lambda spark, d: _model("items_with_orders")(spark, d).groupBy("order_id").agg(S.money(F.sum("price") + F.sum("freight")).alias("payment_value")), f"select o_orderkey as order_id, {_r('sum(p) + sum(f)')} as payment_value from {ITEMS} group by 1"),
+    "row_json_keys": (q_row_json, "select o_orderkey, o_orderstatus as status, length(o_orderpriority)::int as letters, true as same from orders"),
+    "kept_frame": (q_kept_frame, "select l_returnflag as k, count(*) as n from lineitem group by 1 union all select floor(l_quantity / 10)::int::varchar, count(*) from lineitem group by 1"),
+    "partition_sizes": (lambda spark, d: tools.partition_sizes(load(spark, d, "lineitem").repartition(8, "l_suppkey")).select("total"), "select count(*) as total from lineitem"),
+    "aqe_skew_join": (_joined(lambda a, b: _split_join(a, b)), JOIN_SQL),
+    "version_key_changes": (q_key_changes, f"""with a as (select distinct user_id from events where {S_EARLY}), b as (select distinct user_id from events where ({S_EARLY}) or ({S_MIDDLE})), c as (select * from b where user_id % 10 <> 3)
+select user_id, 'added' as change from (select * from c except select * from a) union all select user_id, 'missing' from (select * from a except select * from c) union all select user_id, 'added' from (select * from b except select * from a)"""),
+    "v_flow_runs": (q_flow_runs, f"""with {STEPS_SQL}, t as (select run_id, count(*) as task_attempts, count(*) filter (where status in ('FAILED', 'ABANDONED')) as failed_attempts, count(*) filter (where seq % 3 > 0) as retried_attempts,
+  arg_min(name, seq) filter (where status in ('FAILED', 'ABANDONED')) as first_failed_task, string_agg(name, ' > ' order by seq) filter (where status = 'SUCCESS') as steps_succeeded from s where level = 'task' group by 1),
+r as (select run_id, sum(seq % 5)::bigint as i, sum(seq % 2)::bigint as u from s where level = 'table' group by 1)
+select s.run_id, name as flow_name, status, started, case when status <> 'RUNNING' then value end as seconds, coalesce(task_attempts, 0) as task_attempts, coalesce(failed_attempts, 0) as failed_attempts, coalesce(retried_attempts, 0) as retried_attempts,
+  first_failed_task, steps_succeeded, coalesce(i, 0) as rows_inserted, coalesce(u, 0) as rows_updated, 0::bigint as rows_rejected from s left join t on t.run_id = s.run_id left join r on r.run_id = s.run_id where level = 'flow'"""),
+    "v_task_stats": (q_task_stats, f"""with {STEPS_SQL}, g as (select *, case when status = 'SUCCESS' then value end as ok from s where level = 'task')
+select name as task_name, count(*) as attempts, count(ok) as successes, count(*) filter (where status in ('FAILED', 'ABANDONED')) as failures, {_r('100.0 * count(ok)::double / count(*)', 1)} as success_rate, {_r('avg(ok)', 1)} as avg_seconds,
+  {_r('quantile_cont(ok, 0.5)', 1)} as median_seconds, {_r('quantile_cont(ok, 0.95)', 1)} as p95_seconds, {_r('max(ok)', 1)} as max_seconds, max(started) as last_start, arg_max(status, seq) as last_status from g group by 1"""),
+    "run_stats": (q_audit_run_stats, f"with {STEPS_SQL} select count(*) as runs, {_r('100.0 * count(*) filter (where status = ' + chr(39) + 'SUCCESS' + chr(39) + ')::double / count(*)', 1)} as success_pct, {_r('quantile_cont(value, 0.5) / 60', 1)} as median_minutes, arg_max(status, started) as last_status from s where level = 'flow' and status <> 'RUNNING'"),
+    "rejections": (q_rejections, f"with {STEPS_SQL} select level as table_name, name as rule, sum(seq % 5)::bigint as rows, count(distinct run_id) as runs, max(seq)::varchar as last_sample from s group by 1, 2"),
+    "rejected_samples": (q_rejected_samples, f"with {DIRTY}, h as (select unnest(f) as rule, 'l_orderkey=' || l_orderkey || ', l_linenumber=' || l_linenumber as k from m), g as (select rule, k, count(*) as n, row_number() over (partition by rule order by k) as place from h group by 1, 2) select rule, sum(n)::bigint as rows, string_agg(k, '; ' order by k) filter (where place <= 5) as sample from g group by 1"),
+    "recorded_checks": (q_recorded_checks, """with c(check_name, category, bad, rows_failed) as (
+  select 'unique_orders', 'uniqueness', 'FAIL', count(*) - count(distinct o_orderkey) from orders union all select 'unique_combination_items', 'uniqueness', 'WARN', (select count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1))
+  union all select 'not_null_orders_custkey', 'completeness', 'FAIL', count(*) - count(o_custkey) from orders union all select 'accepted_values_status', 'validity', 'FAIL', count(*) filter (where o_orderstatus = 'P') from orders
+  union all select 'relationships_customer', 'referential_integrity', 'WARN', count(*) filter (where o_custkey % 10 = 0) from orders union all select 'non_negative_balance', 'validity', 'FAIL', count(*) filter (where c_acctbal < 0) from customer union all select 'revenue_items_vs_flags', 'reconciliation', 'FAIL', 0)
+select check_name, category, case when rows_failed = 0 then 'PASS' else bad end as status, rows_failed::bigint as rows_failed from c"""),
+    "pipeline_checks": (q_pipeline_checks, """with e as (select max(ts) as newest from events where event_type = 'signup' and event_id % 31 <> 0 and event_id % 7 <> 0 and event_id % 97 <> 0),
+r as (select count(*) filter (where good is null and not coalesce(bad, false)) as missing, count(*) filter (where user_id % 7 <> 0 and good < newest and not coalesce(newest_bad, false)) as unexplained, count(*) filter (where user_id % 7 = 0 and not coalesce(bad, false)) as left_out,
+  count(*) filter (where good is not null) as valid, count(*) filter (where good is not null and user_id % 7 <> 0) as kept
+  from (select user_id, max(ts) as newest, max(ts) filter (where event_type <> 'error') as good, bool_or(event_type = 'error') as bad, arg_max(event_type, ts) = 'error' as newest_bad from events group by 1)),
+c(check_name, category, bad, ok) as (values ('bronze_no_duplicate_versions', 'uniqueness', 'FAIL', true), ('source_keys_in_silver_or_quarantine', 'reconciliation', 'FAIL', (select left_out = 0 and missing = 0 from r)), ('silver_versions_newest_or_explained', 'reconciliation', 'WARN', (select unexplained = 0 from r)),
+  ('silver_unique_key', 'uniqueness', 'FAIL', true), ('silver_vs_staging_rows', 'reconciliation', 'FAIL', (select valid = kept from r)), ('fact_no_null_customer_key', 'completeness', 'FAIL', true), ('items_vs_fact', 'reconciliation', 'WARN', true),
+  ('revenue_staging_vs_gold', 'reconciliation', 'FAIL', true), ('revenue_source_vs_gold', 'reconciliation', 'WARN', true), ('orders_staging_vs_gold', 'reconciliation', 'FAIL', true), ('orders_source_vs_gold', 'reconciliation', 'WARN', true),
+  ('payments_staging_vs_gold', 'reconciliation', 'FAIL', true), ('payments_source_vs_gold', 'reconciliation', 'WARN', true), ('pipeline_previous_success_recent', 'freshness', 'WARN', (select newest >= timestamp '2024-02-02' - interval 26 hour from e)))
+select check_name, category, case when ok then 'PASS' else bad end as status from c"""),
     "rules_valid": (q_rules_valid, f"with {DIRTY} select * exclude f from m where len(f) = 0"),
     "rules_quarantine_reason": (q_rules_quarantine, f"with {DIRTY} select * exclude f, array_to_string(f, ', ') as reason from m where len(f) > 0"),
     "rules_failure_counts": (q_rule_counts, f"with {DIRTY} select rule, count(*) as rows from (select unnest(f) as rule from m) group by 1"),
@@ -417,28 +615,22 @@ j as (select s.user_id, s, h, q.user_id is not null as q, coalesce(explained, fa
 select count(*) as source, count(h) as in_silver, count(*) filter (where h is null and q) as quarantined_only, count(*) filter (where h is null and not q) as missing, count(*) filter (where h < s and explained) as stale_explained, count(*) filter (where h < s and not explained) as stale_unexplained, count(*) filter (where h > s) as ahead from j"""),
     "dim_date": (q_dim_date, "select cast(strftime(d, '%Y%m%d') as int) as date_key, cast(d as date) as date_day, cast(year(d) as int) as year, cast(month(d) as int) as month, strftime(d, '%b') as month_name, cast(isodow(d) as int) as day_of_week, isodow(d) >= 6 as is_weekend from generate_series(timestamp '2016-01-01', timestamp '2030-12-31', interval 1 day) t(d)"),
     "scd2_user_dim": (q_scd2, "select user_id, event_type, ts as valid_from, coalesce(lead(ts) over w, timestamp '9999-12-31 00:00:00') as valid_to, lead(ts) over w is null as is_current from events window w as (partition by user_id order by ts)"),
-    "scd2_snapshot": (q_scd2_snapshot, f"""with a as {_early}, b as {LATEST.format(E + " where ts < timestamp '2024-01-25 00:00:00'")}
-select a.user_id, a.event_type, a.ts as valid_from, case when b.ts > a.ts then b.ts end as valid_to, md5(a.user_id::varchar || '|' || a.ts::varchar) as scd_id from a left join b on a.user_id = b.user_id
-union all select b.user_id, b.event_type, b.ts, null, md5(b.user_id::varchar || '|' || b.ts::varchar) from b left join a on a.user_id = b.user_id where a.ts is null or b.ts > a.ts"""),
-    "scd2_snapshot_all": (q_scd2_snapshot_all, f"""with v as (select user_id, event_type, ts from {_early} union select user_id, event_type, ts from {LATEST.format(E + " where ts < timestamp '2024-01-25 00:00:00'")} union select user_id, event_type, ts from {LATEST.format(E)})
+    "scd2_snapshot": (q_scd2_snapshot, f"""with v as (select user_id, event_type, ts from {_early} union select user_id, event_type, ts from {LATEST.format(E + " where ts < timestamp '2024-01-25 00:00:00'")} union select user_id, event_type, ts from {LATEST.format(E)})
 select user_id, event_type, ts as valid_from, lead(ts) over (partition by user_id order by ts) as valid_to, md5(user_id::varchar || '|' || ts::varchar) as scd_id from v"""),
     "fact_pit_join": (q_fact_pit, "with v as (select user_id, event_id, ts, coalesce(lead(ts) over (partition by user_id order by ts), timestamp '9999-12-31 00:00:00') as e from events), o as (select o_orderkey, o_custkey % 150 as user_id, o_orderdate + interval 10227 day as moment from orders) select o_orderkey, o.user_id, moment, event_id as version_id from o left join v on v.user_id = o.user_id and moment >= ts and moment < e"),
     "fact_incremental_filter": (q_fact_filter, "with e as (select o_orderkey, o_orderdate from orders where o_orderdate < timestamp '1999-01-01 00:00:00' and o_orderkey % 13 <> 0) select o_orderkey, o_orderdate from orders where o_orderdate >= (select max(o_orderdate) from e) or o_orderkey not in (select o_orderkey from e)"),
     "fact_delete_insert": (q_fact_delete_insert, "select l_orderkey, l_linenumber, case when l_orderkey % 10 = 0 then l_extendedprice else 0.0 end as l_extendedprice from lineitem"),
-    "fact_orders": (q_fact_orders, "select md5(l_orderkey::varchar || '-' || l_linenumber::varchar || '-' || l_partkey::varchar) as order_item_key, l_orderkey, md5(l_partkey::varchar) as product_key, strftime(o_orderdate, '%Y%m%d')::int as date_key, (l_shipdate::date - o_orderdate::date)::int as delivery_days from lineitem join orders on l_orderkey = o_orderkey"),
-    "rolling_7_revenue": (q_rolling, "with d as (select o_orderdate::date as date_day, sum(o_totalprice::decimal(18,2)) as r from orders group by 1) select date_day, r::double as revenue, round((sum(r) over w / count(*) over w)::decimal(38,6), 1)::double as rolling_7 from d window w as (order by date_day rows between 6 preceding and current row)"),
+    "rolling_7_revenue": (q_rolling, "with d as (select o_orderdate::date as date_day, sum(o_totalprice::decimal(18,2)) as r from orders group by 1) select date_day, r::double as revenue, round((sum(r) over w / count(*) over w)::decimal(38,6), 2)::double as rolling_7 from d window w as (order by date_day rows between 6 preceding and current row)"),
     "status_pivot": (q_pivot, "select o_orderpriority, nullif(count(*) filter (where o_orderstatus = 'F'), 0) as F, nullif(count(*) filter (where o_orderstatus = 'O'), 0) as O, nullif(count(*) filter (where o_orderstatus = 'P'), 0) as P from orders group by 1"),
     "unpivot_kpis": (q_unpivot, "with o as (select o_orderstatus, count(*) as orders, count(distinct o_custkey) as customers from orders group by 1) select o_orderstatus, 'orders' as metric, orders as value from o union all select o_orderstatus, 'customers', customers from o"),
-    "retention_weighted_avg": (q_retention_avg, "select months_since_first, round((100.0 * sum(active_customers)::double / nullif(sum(cohort_size)::double, 0))::decimal(38,6), 2)::double as retention_pct from (" + re.sub(r"\{(\w+)\}", r"\1", SHARED["agg_customer_retention"]) + ") where months_since_first between 1 and 12 group by 1"),
+    "retention_weighted_avg": (q_retention_avg, "select months_since_first, round((100.0 * sum(active_customers)::double / nullif(sum(cohort_size)::double, 0))::decimal(38,6), 2)::double as retention_pct from (" + RETENTION_SQL + ") where months_since_first between 1 and 12 group by 1"),
     "key_distribution": (q_shares, "select l_suppkey, count(*) as rows, round((count(*)::double / (select count(*) from lineitem))::decimal(38,6), 6)::double as share from lineitem group by 1 order by rows desc, l_suppkey limit 5"),
     "salted_join": (_joined(lambda a, b: joins.salted(a, b, "k", 8)), JOIN_SQL),
     "broadcast_join": (_joined(lambda a, b: joins.small_join(a, b, "k")), JOIN_SQL),
     "smj_join": (_joined(lambda a, b: joins.merge_join(a, b, "k")), JOIN_SQL),
-    "v_task_stats": (q_run_stats, "select event_type as task, count(*) as runs, round(quantile_cont(value, 0.5)::decimal(38,6), 4)::double as median, round(quantile_cont(value, 0.95)::decimal(38,6), 4)::double as p95, arg_max(user_id, event_id) as last_run from events group by 1"),
-    "v_flow_runs": (q_flow_runs, "select user_id as run_id, count(*) as tasks, count(*) filter (where event_type = 'error') as failed, min(event_id) filter (where event_type = 'error') as first_failed, string_agg(event_type, ' > ' order by event_id) as path from events where event_id % 20 = 0 group by 1"),
-    "v_flow_runs_all": (q_flow_runs_all, "select user_id as run_id, count(*) as tasks, count(*) filter (where event_type = 'error') as failed, min(event_id) filter (where event_type = 'error') as first_failed, string_agg(event_type, ' > ' order by event_id) as path from events group by 1"),
-    "bronze_insert_only_merge": (q_bronze_insert_only, f"{E} where ({S_EARLY}) or ({S_MIDDLE})"),
-    "bronze_insert_only_merge_all": (q_bronze_insert_only_all, E),
+    "task_durations": (q_run_stats, "select event_type as task, count(*) as runs, round(quantile_cont(value, 0.5)::decimal(38,6), 4)::double as median, round(quantile_cont(value, 0.95)::decimal(38,6), 4)::double as p95, arg_max(user_id, event_id) as last_run from events group by 1"),
+    "flow_paths": (q_flow_paths, "select user_id as run_id, count(*) as tasks, count(*) filter (where event_type = 'error') as failed, min(event_id) filter (where event_type = 'error') as first_failed, string_agg(event_type, ' > ' order by event_id) as path from events group by 1"),
+    "bronze_insert_only_merge": (q_bronze_insert_only, E),
     "silver_upsert_newer": (q_silver_upsert, NEWER.format(NEWER.format(f"select * from {_mid}", f"select * from {_all3}"), f"select * from {_early}")),
     "change_feed": (q_change_feed, f"""with a as {_early}, b as {_all3}, ins as (select b.user_id from b where user_id not in (select user_id from a)), upd as (select b.user_id from b join a on a.user_id = b.user_id where b.ts > a.ts), t as (select user_id from a union select user_id from b)
 select * from (select 2::bigint as _commit_version, 'insert' as _change_type, count(*) as rows from ins union all select 2, 'update_preimage', count(*) from upd union all select 2, 'update_postimage', count(*) from upd union all select 3, 'delete', count(*) from t where user_id % 10 = 1) where rows > 0"""),

@@ -1,15 +1,14 @@
 """A versioned table on Parquet files: commit log, time travel, change feed, merges and maintenance.
 
 Each commit is a JSON file in ``_log`` that names added and removed data files
-and change files.  A commit is made by linking a finished file to the next
-number, which fails if another writer was first; the log store is the only part
-that depends on the file system.
+and change files.  A commit is a finished file that gets the next number, which
+fails if another writer was first.  The table lies in a shared folder or on any
+Hadoop file system.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from collections.abc import Sequence
@@ -19,35 +18,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
-
+from ..operators.versions import latest
+from .storage import Conflict, Storage
 
-class Conflict(RuntimeError):
-    """Another writer made the commit first."""
+__all__ = ["Commit", "Conflict", "LakeTable", "LogStore"]
+CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 
 
 class LogStore:
-    def __init__(self, path: str):
-        self.dir = os.path.join(path, "_log")
+    """Commits by number; read ones are kept, as they never change."""
+
+    def __init__(self, storage: Storage):
+        self.storage, self.known = storage, {}
 
     def versions(self) -> list[int]:
-        return sorted(int(f[:20]) for f in os.listdir(self.dir) if f.endswith(".json") and f[:20].isdigit()) if os.path.isdir(self.dir) else []
+        names = [f.split("/")[-1] for f, _ in self.storage.files("_log")]
+        return sorted(int(n[:20]) for n in names if n.endswith(".json") and n[:20].isdigit())
 
     def read(self, version: int) -> dict:
-        with open(os.path.join(self.dir, f"{version:020d}.json")) as f:
-            return json.load(f)
+        if version not in self.known:
+            self.known[version] = json.loads(self.storage.read(f"_log/{version:020d}.json"))
+        return self.known[version]
 
     def write(self, version: int, entry: dict) -> None:
-        os.makedirs(self.dir, exist_ok=True)
-        part = os.path.join(self.dir, f".{uuid.uuid4().hex}")
-        with open(part, "w") as f:
-            json.dump(entry, f)
-        try:
-            os.link(part, os.path.join(self.dir, f"{version:020d}.json"))
-        except FileExistsError as e:
-            raise Conflict(f"version {version} exists") from e
-        finally:
-            os.unlink(part)
+        self.storage.write_new(f"_log/{version:020d}.json", json.dumps(entry))
 
 
 @dataclass(frozen=True)
@@ -62,7 +56,8 @@ class Commit:
 
 class LakeTable:
     def __init__(self, spark: SparkSession, path: str, clock=time.time):
-        self.spark, self.path, self.log, self.clock = spark, path, LogStore(path), clock
+        self.spark, self.storage, self.clock = spark, Storage(spark, path), clock
+        self.path, self.log = self.storage.root, LogStore(self.storage)
 
     # --- state -------------------------------------------------------------
     def exists(self) -> bool:
@@ -94,7 +89,7 @@ class LakeTable:
     def _read(self, files: Sequence[str], schema: StructType) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[os.path.join(self.path, f) for f in files])
+        return self.spark.read.schema(schema).parquet(*[self.storage.path(f) for f in files])
 
     def df(self, version: int | None = None, timestamp: float | None = None) -> DataFrame:
         """Rows now, at a version, or as of a time (the last commit not after it)."""
@@ -114,25 +109,24 @@ class LakeTable:
         rows = [(e["version"], e["ts"], e["op"], {k: str(v) for k, v in e["metrics"].items()}) for e in reversed(self._upto())]
         return self.spark.createDataFrame(rows[:limit], "version long, ts double, operation string, metrics map<string,string>")
 
+    def write_counts(self, before: int | None) -> dict[str, int]:
+        """Rows inserted, updated and deleted since a version; no new version, no rows."""
+        fresh = self.history().filter(F.col("version") > (-1 if before is None else before))
+        kinds = ("inserted", "updated", "deleted")
+        row = fresh.agg(*[F.coalesce(F.sum(F.try_element_at("metrics", F.lit(k)).cast("long")), F.lit(0)).alias(k) for k in kinds]).first()
+        return row.asDict()
+
     def detail(self) -> dict:
         files = self._state()[0].values()
         return {"files": len(files), "bytes": sum(f["bytes"] for f in files), "rows": sum(f["rows"] for f in files)}
 
     # --- writing -----------------------------------------------------------
     def _files(self, df: DataFrame, rows_per_file: int = 1_000_000) -> list[dict]:
-        """Write rows as new data files."""
-        import pyarrow.parquet as pq
-
+        """Write rows as new data files; executors count what they hold, whatever the file system."""
         name = f"data-{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", rows_per_file).parquet(os.path.join(self.path, name))
-        out = []
-        for f in sorted(os.listdir(os.path.join(self.path, name))):
-            if f.endswith(".parquet"):
-                full = os.path.join(self.path, name, f)
-                rows = pq.ParquetFile(full).metadata.num_rows
-                if rows:
-                    out.append({"file": f"{name}/{f}", "rows": rows, "bytes": os.path.getsize(full)})
-        return out
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(self.storage.path(name))
+        got = self.spark.read.schema(df.schema).parquet(self.storage.path(name)).groupBy(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("s")).agg(F.count("*").alias("n"))
+        return sorted(({"file": f"{name}/{r['f']}", "rows": r["n"], "bytes": r["s"]} for r in got.collect()), key=lambda f: f["file"])
 
     def _commit(self, op: str, base: int | None, add=(), remove=(), change=(), schema=None, props=None, metrics=None, data_change=True) -> int:
         version = 0 if base is None else base + 1
@@ -203,29 +197,29 @@ class LakeTable:
     def upsert_newer(self, df: DataFrame, keys: Sequence[str], version: str, evolve: bool = False) -> Commit:
         """Insert new keys, replace rows whose version is older; equal and older batch rows do nothing.
 
-        Only files that hold a replaced row are written again.
+        Of several batch rows with one key the newest counts.  Only files that
+        hold a replaced row are written again.
         """
         base = self.version()
-        batch, schema = self._evolved(df, evolve)
+        batch, schema = self._evolved(latest(df, keys, [version]), evolve)
         target = self.df()
-        held = target.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(version).alias("__held"), F.col("_metadata.file_path").alias("__file")) if self._state()[0] else None
+        held = target.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(version).alias("__held"), F.col("_metadata.file_name").alias("__file")) if self._state()[0] else None
         if held is None:
-            return self.append(df, evolve)
+            return self.append(batch, evolve)
         on = F.lit(True)
         for k in keys:
             on = on & batch[k].eqNullSafe(F.col(f"__{k}"))
         met = batch.join(held, on, "left")
         act = met.filter(F.col("__file").isNull() | (F.col(version) > F.col("__held"))).drop("__held", *[f"__{k}" for k in keys])
         name = f"merge-{uuid.uuid4().hex}"
-        act.write.parquet(os.path.join(self.path, name))
-        staged = self.spark.read.parquet(os.path.join(self.path, name))
+        act.write.parquet(self.storage.path(name))
+        staged = self.spark.read.schema(act.schema).parquet(self.storage.path(name))
         counts = staged.agg(F.count_if(F.col("__file").isNull()), F.count_if(F.col("__file").isNotNull())).first()
         if not counts[0] and not counts[1]:
             return Commit(None)
         # files holding replaced rows; as many as the table has at most
         touched = {r[0] for r in staged.filter("__file is not null").select("__file").distinct().collect()}
-        live = self._state()[0]
-        hit = [f for f in live if any(t.endswith(f) for t in touched)]
+        hit = self._named(touched)
         fresh = staged.drop("__file")
         old = self._read(hit, schema)
         b = fresh.select(*[F.col(k).alias(f"__{k}") for k in keys])
@@ -240,17 +234,23 @@ class LakeTable:
         return Commit(v, counts[0], counts[1])
 
     def delete(self, condition: Column | str) -> Commit:
-        """Delete rows that meet a condition (null does not)."""
+        """Delete rows that meet a condition (null does not); only files with such rows are written again."""
         base, schema = self.version(), self.schema()
         hit = F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))
-        live = self._state()[0]
-        gone = self.df().filter(hit)
-        change = self._files(gone.withColumn("_change_type", F.lit("delete")))
-        n = sum(f["rows"] for f in change)
-        if not n:
+        met = self.df().filter(hit) if self._state()[0] else None
+        touched = {r[0] for r in met.select("_metadata.file_name").distinct().collect()} if met is not None else set()
+        if not touched:
             return Commit(None)
-        add = self._files(self.df().filter(~hit))
-        return Commit(self._commit("DELETE", base, add, live, change, schema.jsonValue(), metrics={"deleted": n}), 0, 0, n)
+        files = self._named(touched)
+        rows = self._read(files, schema)
+        change = self._files(rows.filter(hit).withColumn("_change_type", F.lit("delete")))
+        add = self._files(rows.filter(~hit))
+        n = sum(f["rows"] for f in change)
+        return Commit(self._commit("DELETE", base, add, files, change, schema.jsonValue(), metrics={"deleted": n}), 0, 0, n)
+
+    def _named(self, names: set[str]) -> list[str]:
+        """Live files by their own names, which no two share."""
+        return [f for f in self._state()[0] if f.rpartition("/")[2] in names]
 
     def restore(self, version: int) -> Commit:
         files, schema, _ = self._state(version)
@@ -276,15 +276,11 @@ class LakeTable:
         for e in self._upto():
             if e["ts"] >= edge:
                 needed |= set(e["remove"]) | {f["file"] for f in [*e["add"], *e["change"]]}
-        out = []
-        for top, _, names in os.walk(self.path):
-            rel = os.path.relpath(top, self.path)
-            if rel.startswith(("data-", "merge-")):
-                out += [f"{rel}/{n}" for n in names if n.endswith(".parquet") and f"{rel}/{n}" not in needed and os.path.getmtime(os.path.join(top, n)) <= edge]
+        out = [f for f, changed in self.storage.files() if f.startswith(("data-", "merge-")) and f.endswith(".parquet") and f not in needed and changed <= edge]
         if not dry_run:
             for f in out:
-                os.unlink(os.path.join(self.path, f))
-        return sorted(out)
+                self.storage.delete(f)
+        return out
 
     # --- change feed -------------------------------------------------------
     def feed_since(self) -> int | None:
