@@ -6,9 +6,9 @@ library's operators and compared with SQL written on its own.
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -266,12 +266,9 @@ def q_flow_paths(spark, d):
 
 
 def _lake(spark, name):
-    """A table in the shared folder that the cluster names; in a temporary one where it names none with a path."""
-    shared = re.sub("^file:/+", "/", spark.conf.get("spark.checkpoint.dir", None) or "")
-    shared = shared if shared.startswith("/") else None
-    if shared:
-        os.makedirs(shared, exist_ok=True)
-    return LakeTable(spark, f"{tempfile.mkdtemp(prefix='strata-lake-', dir=shared)}/{name}")
+    """A table in the shared folder that the cluster names, on any file system; in a temporary one where it names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-lake-")
+    return LakeTable(spark, f"{shared}/strata-lake-{uuid.uuid4().hex}/{name}")
 
 
 def _landed(spark, d, last=()):
