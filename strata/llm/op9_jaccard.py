@@ -18,6 +18,10 @@ the task.  What other groups leave open is verified on the whole shingle sets.
 A group too large for one task is cut into blocks by component and size.  The
 blocks' nodes alone are traversed first; members then travel only to the pairs
 of blocks that these nodes leave open.
+
+Up to LOCAL_ROWS links, pairs or ids are merged, dealt in turns or made
+distinct by the driver, as a shuffle costs a task for every partition, however
+few its rows; more of them go through joins and aggregates with the same result.
 """
 
 from __future__ import annotations
@@ -54,6 +58,8 @@ ROUNDS = 2
 SPLIT = 1024
 #: Ids to drop that the stage sends to every task at most (16 MB); beyond, documents are joined with them.
 DROP_ROWS = 1_000_000
+#: Links, pairs or ids (4 MB as pairs) that the driver takes at most; beyond, they stay in tables.
+LOCAL_ROWS = 1 << 18
 #: Bytes of exact bitmaps that a block may use; beyond, hashed ones and whole sets.
 EXACT_BYTES = 1 << 26
 #: Partners of a document that the first pass over a larger group looks at.
@@ -211,13 +217,18 @@ def _in_filter(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7)) & 1 == 1
 
 
-def _is_marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def _places(keys: np.ndarray) -> np.ndarray:
+    """Where keys stand in a filter; as _mark."""
     k = keys.astype(np.int64).view(np.uint64)
-    return _in_filter(marks, k ^ (k >> np.uint64(20)) ^ (k >> np.uint64(40)))
+    return k ^ (k >> np.uint64(20)) ^ (k >> np.uint64(40))
+
+
+def _is_marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return _in_filter(marks, _places(keys))
 
 
 def _mark(key):
-    """Where a key stands in a filter, before the filter's size is taken into account; as in _is_marked."""
+    """Where a key stands in a filter, before the filter's size is taken into account; as _places."""
     return F.col(key).bitwiseXOR(F.shiftrightunsigned(key, 20)).bitwiseXOR(F.shiftrightunsigned(key, 40))
 
 
@@ -258,6 +269,17 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
+def _united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the edges between u and v, in order, and the smallest id reachable from each."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = list(range(len(names)))
+    for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        x, y = _find(parent, x), _find(parent, y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return names, names[np.array([_find(parent, k) for k in range(len(names))], np.int64)]
+
+
 def _emitter(frequent: np.ndarray, marks: np.ndarray, by_set: bool):
     """Prefix rows of the marked documents."""
 
@@ -578,9 +600,24 @@ def components(edges: DataFrame, save=materialize) -> DataFrame:
     return save(nodes.join(both.select(F.col("u").alias("doc"), F.col("v").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")))
 
 
+def _filter_bits(most: int) -> int:
+    return 1 << min(MOST_BITS, max(LEAST_BITS, int(16 * most).bit_length()))
+
+
+def _filter_of(places: np.ndarray) -> np.ndarray:
+    """A filter of places that the driver has."""
+    bits = _filter_bits(len(places))
+    out = np.zeros(bits // 8, np.uint8)
+    at = (places & np.uint64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out
+
+
 def _filter(places: DataFrame, column: str, most: int) -> np.ndarray:
     """A filter of the places in a column, sized for ``most`` of them; the driver gets 2**MOST_BITS / 8 bytes at most."""
-    bits = 1 << min(MOST_BITS, max(LEAST_BITS, int(16 * most).bit_length()))
+    if most <= LOCAL_ROWS:
+        return _filter_of(places.toArrow().column(column).to_numpy().view(np.uint64))
+    bits = _filter_bits(most)
     out = np.zeros(bits // 8, np.uint8)
     size = 1 << 12
     # bitmap functions count from 1, 32768 to a bucket
@@ -591,6 +628,18 @@ def _filter(places: DataFrame, column: str, most: int) -> np.ndarray:
     return out
 
 
+def _taken(rows: DataFrame) -> list[np.ndarray] | None:
+    """The columns of a written table, if the driver may take its rows."""
+    if rows.count() > LOCAL_ROWS:
+        return None
+    return [c.to_numpy() for c in rows.toArrow().columns]
+
+
+def _sent(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
+    """Columns of the driver as a table that every task gets."""
+    return F.broadcast(spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
@@ -631,15 +680,23 @@ def linked(docs: DataFrame) -> DataFrame:
         """A filter of keys; one that it lets pass for another costs time alone."""
         return _filter(ids.select(_mark("doc").alias("p")), "p", most)
 
-    def sets_of(ids):
+    def each_once(ids):
+        """Keys of a written table, each once, and a filter of them."""
+        few = _taken(ids.select("doc"))
+        if few is not None:
+            few = np.unique(few[0])
+            return _sent(spark, doc=few), _filter_of(_places(few))
         ids = save(ids.select("doc").distinct())
-        found = mapped(known, _whole_sets(marks(ids, ids.count()), by_set), "doc long, shingles binary")
+        return ids, marks(ids, ids.count())
+
+    def sets_of(ids):
+        found = mapped(known, _whole_sets(each_once(ids)[1], by_set), "doc long, shingles binary")
         return save(found.dropDuplicates(["doc"]) if by_set else found)
 
     def sigs_of(ids):
         """doc, n, sig of keys, each once."""
-        ids = save(ids.select("doc").distinct())
-        found = keyed.select("doc", "n", "sig").mapInArrow(_marked_rows(marks(ids, ids.count())), "doc long, n long, sig binary").join(ids, "doc", "left_semi")
+        ids, marked = each_once(ids)
+        found = keyed.select("doc", "n", "sig").mapInArrow(_marked_rows(marked), "doc long, n long, sig binary").join(ids, "doc", "left_semi")
         return found.groupBy("doc").agg(F.first("n").alias("n"), F.first("sig").alias("sig")) if by_set else found
 
     sent = mapped(known, _emitter(frequent, marks(first, facts[0]), by_set), "token long, doc long, n long")
@@ -683,22 +740,50 @@ def linked(docs: DataFrame) -> DataFrame:
 
     def merged(links):
         """Labels after more links: only components that these join are looked at."""
-        if links.isEmpty():
-            return labels
+        few = _taken(links.select("a", "b"))
+        if few is not None:
+            return relabelled(*few)
         one, two = (labels.select(F.col("doc").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
         ends = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         new = components(ends, save)
         now = labels.join(new.select(F.col("doc").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("doc", F.coalesce("new", "comp").alias("comp"))
         return save(now.union(new.join(labels.select("doc"), "doc", "left_anti").select("doc", "comp")))
 
-    def in_blocks(hot):
-        """Work of groups of over SPLIT rows: their blocks, and the pairs of blocks that the blocks' nodes leave open."""
-        each = hot.groupBy("token", "comp").agg(F.count("*").alias("of_comp"))
+    def labels_of(ids):
+        """Components of keys that the driver has, and which of them have a label."""
+        comp, labelled = ids.copy(), np.zeros(len(ids), bool)
+        found = labels.join(_sent(spark, doc=ids), "doc").select("doc", "comp").toArrow()
+        at = np.searchsorted(ids, found.column("doc").to_numpy())
+        comp[at], labelled[at] = found.column("comp").to_numpy(), True
+        return comp, labelled
+
+    def relabelled(a, b):
+        """Labels after more links, which the driver has."""
+        if not len(a):
+            return labels
+        ids = np.unique(np.concatenate([a, b]))
+        comp, labelled = labels_of(ids)
+        names, roots = _united(*(comp[np.searchsorted(ids, x)] for x in (a, b)))
+        new = _sent(spark, comp=names, new=roots)
+        now = labels.join(new, "comp", "left").select("doc", F.coalesce("new", "comp").alias("comp"))
+        # a component's smallest document always has a label, so these are documents of the links
+        fresh = ids[~labelled]
+        return save(now.union(_sent(spark, doc=fresh, comp=roots[np.searchsorted(names, fresh)])))
+
+    def in_blocks(hot, members):
+        """Work of the members of groups of over SPLIT rows: their blocks, and the pairs of blocks that the blocks' nodes leave open."""
         # components of a block or more have blocks of their own
-        cell = hot.join(each, ["token", "comp"]).withColumn("own", F.when(F.col("of_comp") >= BLOCK, F.col("comp")).otherwise(F.lit(NO_TOKEN)))
-        cell = cell.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))))
-        parts = cell.groupBy("token", "own", "size").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        cell = cell.join(parts, ["token", "own", "size"]).withColumn("work", F.xxhash64("token", "own", "size", F.pmod(F.xxhash64("doc"), F.col("parts"))))
+        own = save(hot.groupBy("token", "comp").agg(F.count("*").alias("of_comp")).filter(F.col("of_comp") >= BLOCK).select("token", "comp", F.col("comp").alias("own")))
+        own = small_side(own, own.count())
+
+        def celled(rows):
+            cell = rows.join(own, ["token", "comp"], "left").fillna(NO_TOKEN, ["own"])
+            return cell.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))))
+
+        parts = celled(hot).groupBy("token", "own", "size").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        parts = save(parts.filter("parts > 1"))
+        cell = celled(members).join(small_side(parts, parts.count()), ["token", "own", "size"], "left").fillna(1, ["parts"])
+        cell = cell.withColumn("work", F.xxhash64("token", "own", "size", F.pmod(F.xxhash64("doc"), F.col("parts"))))
         cell = save(cell.withColumn("side", F.lit(0)).select(*MEMBERS))
         nodes = cell.repartition(tasks, "work").sortWithinPartitions("work").select("work", "token", "n", "sig", "comp").mapInArrow(_block_nodes, NODES)
         pairs = save(nodes.repartition(tasks, "token").sortWithinPartitions("token", "block").mapInArrow(_block_pairs, "token long, x long, y long"))
@@ -716,14 +801,16 @@ def linked(docs: DataFrame) -> DataFrame:
         work = many.filter(F.col("rows") <= SPLIT).withColumn("work", F.col("token")).withColumn("side", F.lit(0)).select(*MEMBERS)
         hot = large.filter(F.col("rows") > SPLIT)
         if not hot.isEmpty():
-            work = work.union(in_blocks(many.filter(F.col("rows") > SPLIT)))
+            work = work.union(in_blocks(hot, many.filter(F.col("rows") > SPLIT)))
         work = work.repartition(tasks, "work").sortWithinPartitions("work", "side", "n", "doc")
         found = save(work.mapInArrow(_tree_pairs(limit), PAIRS))
         # the traversal has compared the bitmaps of its own pairs
         pairs = found.filter("not cut").select("a", "b")
         if few is not None:
             leaves = with_state(few.select("token", "doc", "n"), blocks).select("token", "doc", "n", "comp", *BLOCKS)
-            leaves = save(leaves.repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)).select("a", "b").distinct()
+            leaves = save(leaves.repartition(tasks, "token").mapInArrow(_leaf_pairs, PAIRS)).select("a", "b")
+            taken = _taken(leaves)
+            leaves = leaves.distinct() if taken is None else _sent(spark, **dict(zip("ab", np.unique(np.array(taken), axis=1), strict=True)))
             sigs = save(sigs_of(leaves.select(F.explode(F.array("a", "b")).alias("doc"))))
             one, two = (sigs.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
             pairs = pairs.union(leaves.join(one, "a").join(two, "b").mapInArrow(_bounded, "a long, b long"))
@@ -734,6 +821,9 @@ def linked(docs: DataFrame) -> DataFrame:
         nonlocal failed, labels
         share = 1
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")))
+        few = _taken(pairs.select("a", "b"))
+        if few is not None:
+            return resolve_few(sets, *few)
         while True:
             one, two = (labels.select(F.col("doc").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
             apart = pairs.join(failed, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
@@ -747,6 +837,39 @@ def linked(docs: DataFrame) -> DataFrame:
             labels = merged(checked.filter("ok").select("a", "b"))
             share *= 16
 
+    def resolve_few(sets, a, b):
+        """Verify pairs that the driver has: the same turns, with components kept there until the end."""
+        nonlocal failed, labels
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        ids = np.unique(np.concatenate([a, b]))
+        names, root = np.unique(labels_of(ids)[0], return_inverse=True)
+        parent = list(range(len(names)))
+        x, y = (root[np.searchsorted(ids, k)] for k in (a, b))
+        open_, bad, linked_, share = np.ones(len(a), bool), np.zeros(len(a), bool), np.zeros(len(a), bool), 1
+        while True:
+            top = np.array([_find(parent, k) for k in range(len(names))], np.int64)
+            open_ &= top[x] != top[y]
+            k = np.flatnonzero(open_)
+            if not len(k):
+                break
+            # places among the open pairs of one document
+            place = np.arange(len(k))
+            place -= np.maximum.accumulate(np.where(np.concatenate([[True], b[k][1:] != b[k][:-1]]), place, 0))
+            turn = k[place < share]
+            open_[turn] = False
+            sent = _sent(spark, a=a[turn], b=b[turn], at=turn)
+            both = sets.withColumnRenamed("doc", "b").join(sent, "b").withColumnRenamed("shingles", "y").join(sets.toDF("a", "x"), "a")
+            checked = both.select(F.col("at").alias("a"), F.col("at").alias("b"), "x", "y").mapInArrow(_verify, "a long, b long, ok boolean").toArrow()
+            at, ok = checked.column("a").to_numpy(), checked.column("ok").to_numpy(zero_copy_only=False) if checked.num_rows else np.zeros(0, bool)
+            bad[at[~ok]], linked_[at[ok]] = True, True
+            for p, q in zip(x[at[ok]].tolist(), y[at[ok]].tolist(), strict=True):
+                p, q = _find(parent, p), _find(parent, q)
+                parent[max(p, q)] = min(p, q)
+            share *= 16
+        failed = save(failed.union(_sent(spark, a=a[bad], b=b[bad])))
+        labels = relabelled(a[linked_], b[linked_])
+
     failed = local_frame(spark, [], "a long, b long")
     blocks, limit = local_frame(spark, [], "doc long"), PARTNERS
     if not large.isEmpty():

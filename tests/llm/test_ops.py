@@ -573,6 +573,36 @@ def test_jaccard_large_groups(spark, monkeypatch, block, split, partners):
     assert limits[0] == partners and (len(limits) > 1) == (partners == 1)
 
 
+@pytest.mark.parametrize("rows", [0, 40])
+def test_jaccard_links_and_pairs_of_the_driver(spark, monkeypatch, rows):
+    """Tables, the driver, and both in turn give the same components; cut groups and put-off pairs among them."""
+    texts = near_copies(60, 11) + [" ".join(f"v{k}x{i}" for i in range(30)) for k in range(4) for _ in range(2)]
+    for name, v in (("LOCAL_ROWS", rows), ("BLOCK", 8), ("SPLIT", 24), ("PARTNERS", 2)):
+        monkeypatch.setattr(op9_jaccard, name, v, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard.linked(df).collect()} == expected_components(texts)
+
+
+def test_jaccard_few_rows_take_few_shuffles(spark):
+    """A shuffle costs a task for every partition, however few its links and pairs."""
+    texts, sc = near_copies(160), spark.sparkContext
+    df = common.materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = [spark.conf.get(k) for k in names]
+    try:
+        for k, v in zip(names, ("37", "false"), strict=True):
+            spark.conf.set(k, v)
+        sc.setJobGroup("few", "few")
+        op9_jaccard.linked(df).collect()
+        seen = [sc.statusTracker().getStageInfo(k) for j in sc.statusTracker().getJobIdsForGroup("few") for k in sc.statusTracker().getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in zip(names, old, strict=True):
+            spark.conf.set(k, v)
+    whole = sum(s is not None and s.numTasks == s.numCompletedTasks == 37 for s in seen)
+    assert 0 < whole <= 30
+
+
 def test_jaccard_nodes_keep_every_pair():
     """The traversal of blocks' nodes and members leaves open every pair that links."""
     texts = near_copies(90, 7)
